@@ -15,8 +15,6 @@ from .common import ascii_lower, sized, stored
 
 K, WINDOW = 4, 8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: As NOT_WORD, for a text whose A-Z are not lower-cased yet.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -117,9 +115,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, k: int
         F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("ids"),
     )
     own = stored(own.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), _covered(F.col("s")).cast("long").alias("x_hit"), "ids"), "hits")
-    text = F.coalesce(F.col("text"), F.lit(""))
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    d = docs.drop(*names).withColumn("n_words", F.regexp_count(text, F.lit(RAW_WORD)).cast("long")).withColumn("x_th", F.xxhash64("text"))
+    d = docs.drop(*names).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).withColumn("x_th", F.xxhash64("text"))
     out = d.join(sized(own, 600), d.doc_id.eqNullSafe(F.col("h_id")) & (F.col("x_th") == F.col("h_th")), "left")
     out = out.withColumns({
         "n_hit": F.coalesce("x_hit", F.lit(0).cast("long")),
