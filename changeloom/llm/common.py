@@ -51,6 +51,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, up, up.lower()))
 
 
+def n_words(text: Column) -> Column:
+    """Number of runs without \\x20 and \\x09-\\x0D; null gives 0."""
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser over uint64 arrays."""
     x = x ^ (x >> np.uint64(30))

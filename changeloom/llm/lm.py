@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, n_words
 from .textops import word_hashes
 
 #: Bytes of text of a chunk, and of the text whose n-grams a hash range holds.
@@ -91,7 +91,7 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataF
 
     asked = d.groupBy("chunk").applyInPandas(ask, "part long, chunk long, grams binary, n binary, words long")
     answers = asked.groupBy("part").applyInPandas(answer, "chunk long, part long, counts binary")
-    words = d.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).first()[0] or 0
+    words = d.select(F.sum(n_words(F.col("text"))).alias("n")).first()[0] or 0
 
     def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         grams, at, ends = _grams(texts["text"].tolist(), order)

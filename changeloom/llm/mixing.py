@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import n_words, sized, stored
 
 LEVELS = ("domain", "lang", "source")
 #: Order buckets of a leaf and epoch; documents are only sorted within the bucket in which a budget ends.
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: dict[tuple, float], share: float = 0.5, budget
     leaves is that of the mix's configured sources: they are what reaches the driver.
     """
     spark = docs.sparkSession
-    tokens = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    tokens = n_words(F.col("text"))
     ids = docs.select(*(F.col(c).cast("string").alias(f"x{i}") for i, c in enumerate(levels)), F.xxhash64("doc_id", "text").alias("d"), tokens.alias("t"))
     xs = [f"x{i}" for i in range(len(levels))]
     ids = stored(ids.where("t > 0").groupBy(*xs, "d").agg(F.sum("t").alias("t")), "tokens")
