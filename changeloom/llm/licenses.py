@@ -45,8 +45,10 @@ def _bands(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
     n = F.size("wh") - (SHINGLE - 1)
     at = df.where(F.size("wh") >= SHINGLE).select(*keep, "wh", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(stride))).alias("i"))
     s = at.select(*keep, *(F.when(F.col("i") + j + (SHINGLE - 1) < F.size("wh"), F.xxhash64(*(F.get("wh", F.col("i") + j + k) for k in range(SHINGLE)))).alias(f"s{j}") for j in range(WINDOW)))
-    keys = [F.xxhash64(F.lit(b), F.least(*(F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(F.col(f"s{j}"), F.lit(b))) for j in range(WINDOW)))) for b in range(BANDS)]
-    return s.select(*keep, F.explode(F.array(*keys)).alias("band"))
+    # a band per generated row keeps the compiled loop small enough for the JIT
+    s = s.select(*keep, *(f"s{j}" for j in range(WINDOW)), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
+    least = F.least(*(F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{j}", "b")) for j in range(WINDOW)))
+    return s.select(*keep, F.xxhash64("b", least).alias("band"))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) -> DataFrame:
