@@ -75,13 +75,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     # a turn's place is that of the message of it with the earliest parent; parents are always earlier turns
     up = m.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("up"))
     up = stored(up.select("conv_id", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), "parents")
-    while True:
-        far = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        nxt = stored(up.join(far, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("up2") != F.col("up")).alias("moved")), "parents")
-        moved = nxt.where("moved").limit(1).count()
+    up = up.withColumn("done", F.col("up") == F.col("turn"))
+    while True:  # only turns whose root is still open are joined again
+        far = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("done").alias("root"))
+        ahead = up.where("not done").join(far, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("root") | (F.col("up2") == F.col("up"))).alias("done"))
+        nxt = stored(up.where("done").unionByName(ahead), "parents")
         drop_stored(up)
-        up = nxt.drop("moved")
-        if not moved:
+        up = nxt
+        if up.where("not done").isEmpty():
             break
     out = m.join(up.select("conv_id", "turn", F.col("up").alias("root_turn"), F.col("depth").cast("long").alias("depth")), ["conv_id", "turn"], "left")
     levels = F.array_max(F.transform("quotes", lambda q: q.level))
