@@ -7,8 +7,9 @@ can be within reach meet in a leaf of equal block sub-vectors. Below it, points
 counts (sorted by size), and the overlap of two boxes or points is bounded by the summed minima of their
 coordinates. Pairs that survive are verified on the exact shingle sets, recomputed from the whole texts.
 
-Equal sets are one point. A leaf's points first meet its smallest member; leaves that this links whole are done
-(components need no more), all others are joined pair by pair in tiles of bounded size.
+Equal sets are one point. A point first meets one other: of the smallest members of its leaves, that which it shares
+most leaves with. Leaves that these links make whole are done (components need no more); all others are joined pair
+by pair, across components, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -190,7 +191,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     members = stored(own.join(leaders.hint("shuffle_hash"), "key"), "members")
     drop_stored(own)
 
-    one = stored(members.where("doc_id <> lead").groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.lit(1).alias("x")).select("a", "b"), "pairs")
+    shared = members.where("doc_id <> lead").groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
+    best = shared.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
+    one = stored(best, "pairs")
     links = _verify(one, docs, points, size, num, den)
     comp = stored(components(links), "components")
 
