@@ -27,6 +27,8 @@ from .common import components, drop_stored, mix64, sized, stored
 from .textops import pieces, shingle_sets
 
 BAND, COARSE, TILE, LEAF = 1.5, 64, 512, 16
+#: Shingles for each group of the points that are indexed, and of those that pairs are bounded by before their sets meet.
+POINT, FINE = 4, 0.75
 
 
 def _band(n: int) -> tuple[int, int, int]:
@@ -69,6 +71,26 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
+def group_counts(s: np.ndarray, per_group: float) -> bytes:
+    """The point of a set: counts of a power of two of groups, about one for each ``per_group`` shingles.
+
+    A fixed number would bound nothing for long texts, whose counts are all near their mean.
+    """
+    g = max(COARSE, 1 << max(0, int(len(s) / per_group).bit_length() - 1))
+    c = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    width = next(w for w in (1, 2, 4) if c.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + c.astype(f"<u{width}").tobytes()
+
+
+def unpacked(points) -> list[np.ndarray]:
+    return [np.frombuffer(p, f"<u{p[0]}", offset=1).astype(np.int64) for p in points]
+
+
+def folded(c: np.ndarray, g: int) -> np.ndarray:
+    """Counts in fewer groups: g divides their number."""
+    return c.reshape(-1, g).sum(axis=0)
+
+
 def _sketch(size: int, num: int, den: int, keyed: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -78,11 +100,10 @@ def _sketch(size: int, num: int, den: int, keyed: bool):
                 for i, s in zip(ids[a:b], shingle_sets(texts[a:b], size)):
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     if keyed:
-                        c = np.bincount((s & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE).astype(np.uint32)
-                        rows.append((i, len(s), d, c.tobytes(), block_keys(s, num, den) if len(s) else np.zeros(0, np.int64)))
+                        rows.append((i, len(s), d, group_counts(s, POINT), block_keys(s, num, den) if len(s) else np.zeros(0, np.int64)))
                     else:
-                        rows.append((i, s.tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", "keys"] if keyed else ["doc_id", "shingles"])
+                        rows.append((i, len(s), group_counts(s, FINE), s.tobytes()))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", "keys"] if keyed else ["doc_id", "n_shingles", "counts", "shingles"])
 
     return run
 
@@ -92,16 +113,24 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
 
     def bounded(frames):
         for p in frames:
-            x, y = (np.frombuffer(b"".join(p[c]), np.uint32).reshape(-1, COARSE) for c in ("ca", "cb"))
-            ok = np.minimum(x, y).sum(axis=1) >= required(p["na"].to_numpy(), p["nb"].to_numpy(), num, den)
+            need = required(p["na"].to_numpy(), p["nb"].to_numpy(), num, den)
+            ok = np.zeros(len(p), bool)
+            for i, (x, y) in enumerate(zip(unpacked(p["ca"]), unpacked(p["cb"]))):
+                g = min(len(x), len(y))
+                ok[i] = np.minimum(folded(x, g), folded(y, g)).sum() >= need[i]
             yield p.loc[ok, ["a", "b"]]
 
-    pt = points.select("doc_id", "n_shingles", "counts")
-    p = pairs.join(pt.toDF("a", "na", "ca"), "a").join(pt.toDF("b", "nb", "cb"), "b")
-    left = stored(p.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(bounded, "a long, b long"), "pairs")
+    def bound(pairs: DataFrame, by: DataFrame) -> DataFrame:
+        by = by.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"])
+        p = pairs.join(by.toDF("a", "na", "ca"), "a").join(by.toDF("b", "nb", "cb"), "b")
+        return stored(p.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(bounded, "a long, b long"), "pairs")
+
+    left = bound(pairs, points)
     ids = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = docs.join(sized(ids, 16), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = stored(texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, shingles binary"), "sets")
+    sets = stored(texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, n_shingles long, counts binary, shingles binary"), "sets")
+    left = bound(left, sets)
+    sets = sets.select("doc_id", "shingles")
 
     def exact(frames):
         for q in frames:
@@ -155,12 +184,17 @@ def _groups(rows: pd.DataFrame, num: int, den: int):
     if not len(rows):
         return
     ids, comp, n = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-    counts = np.frombuffer(b"".join(rows["counts"]), np.uint32).reshape(-1, COARSE)
+    packed = rows["counts"].to_numpy()
     k = rows[["key", "ta", "tb"]].to_numpy()
     cut = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for s, e in zip(cut[:-1], cut[1:]):
-        for i, j in _rtree_pairs(n[s:e], counts[s:e], num, den):
+        if (comp[s:e] == comp[s]).all():
+            continue
+        points = unpacked(packed[s:e])
+        g = min(map(len, points))
+        counts = np.stack([folded(c, g) for c in points])
+        for i, j in _rtree_pairs(n[s:e], counts, num, den):
             i, j = i + s, j + s
             ok = comp[i] != comp[j]
             found.append((ids[i[ok]], ids[j[ok]]))
@@ -186,6 +220,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     own = points.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     own = stored(own.select("doc_id", F.explode("keys").alias("key")), "keys")
+    keyed, points = points, stored(points.drop("keys"), "points")
+    drop_stored(keyed)
     leaders = own.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("m"))
     leaders = leaders.where("lead < last").select("key", "lead", "m")
     members = stored(own.join(leaders.hint("shuffle_hash"), "key"), "members")
