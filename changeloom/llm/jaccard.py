@@ -7,9 +7,10 @@ can be within reach meet in a leaf of equal block sub-vectors. Below it, points
 counts (sorted by size), and the overlap of two boxes or points is bounded by the summed minima of their
 coordinates. Pairs that survive are verified on the exact shingle sets, recomputed from the whole texts.
 
-Equal sets are one point. A point first meets one other: of the smallest members of its leaves, that which it shares
-most leaves with. Leaves that these links make whole are done (components need no more); all others are joined pair
-by pair, across components, in tiles of bounded size.
+Equal sets are one point. In rounds, each point first meets one other: of its leaves' first and last members that
+are of another component, that which it shares most leaves with. Leaves that links make whole are done (components
+need no more). When a round links nothing, what is open is joined pair by pair, across components, in tiles of
+bounded size; leaves with the same members are one.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import components, drop_stored, mix64, sized, stored
 from .textops import pieces, shingle_sets
 
-BAND, COARSE, TILE, LEAF = 1.5, 64, 512, 16
+BAND, COARSE, TILE, LEAF = 1.5, 256, 512, 16
 #: Shingles for each group of the points that are indexed, and of those that pairs are bounded by before their sets meet.
-POINT, FINE = 4, 0.75
+POINT, FINE = 2, 0.75
 
 
 def _band(n: int) -> tuple[int, int, int]:
@@ -222,32 +223,50 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     own = stored(own.select("doc_id", F.explode("keys").alias("key")), "keys")
     keyed, points = points, stored(points.drop("keys"), "points")
     drop_stored(keyed)
-    leaders = own.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("m"))
-    leaders = leaders.where("lead < last").select("key", "lead", "m")
+    leaders = own.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key")
     members = stored(own.join(leaders.hint("shuffle_hash"), "key"), "members")
     drop_stored(own)
 
-    shared = members.where("doc_id <> lead").groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
-    best = shared.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    one = stored(best, "pairs")
-    links = _verify(one, docs, points, size, num, den)
-    comp = stored(components(links), "components")
-
-    def with_component(df: DataFrame) -> DataFrame:
-        c = df.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return c.withColumn("component", F.coalesce("component", "doc_id"))
-
-    rows = stored(with_component(members), "open")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    comp, links, tried = None, None, None
+    while True:
+        rows = members
+        if comp is not None:
+            rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        else:
+            rows = members.withColumn("component", F.col("doc_id"))
+        at = F.struct("component", "doc_id")
+        ends = rows.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+        ends = ends.where("first.component < last.component")
+        rows = stored(rows.join(ends.hint("shuffle_hash"), "key"), "open")  # leaves of one component are done
+        other = F.when(F.col("component") != F.col("first.component"), F.col("first.doc_id")).otherwise(F.col("last.doc_id"))
+        star = rows.select(F.least(other, "doc_id").alias("a"), F.greatest(other, "doc_id").alias("b"))
+        star = star.groupBy("a", "b").agg(F.count("*").alias("n"))
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        best = star.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x"))
+        one = stored(best.select((-F.col("x.a")).alias("a"), "b"), "pairs")
+        members, found = rows.select("key", "doc_id"), _verify(one, docs, points, size, num, den)
+        tried = one if tried is None else tried.unionByName(one)
+        links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            break
+        comp = stored(components(links), "components")
+    if comp is None:
+        comp = stored(components(links), "components")
+
+    # leaves with the same members are one
+    leaf = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    leaf = stored(leaf.groupBy("m", "h", "s").agg(F.min("key").alias("key")).select("key", "m"), "leaves")
+    rest = rows.select("key", "doc_id", "component").join(leaf.hint("shuffle_hash"), "key")
     tiles = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
-    rest = rows.join(mixed.hint("shuffle_hash"), "key", "left_semi").withColumn("nt", tiles)
+    rest = rest.withColumn("nt", tiles)
     rest = rest.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int"))
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
     rest = rest.select("key", "doc_id", "component", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
     rest = rest.join(points.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
     rest = rest.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
     two = rest.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "counts").mapInPandas(_in_leaves(num, den), "a long, b long")
-    two = two.distinct().join(one, ["a", "b"], "left_anti")
+    two = two.distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(stored(two, "pairs"), docs, points, size, num, den)
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
