@@ -101,12 +101,12 @@ def _descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, c: np.nda
     """Dual coordinate descent for the L2-regularised hinge loss; c is each row's cost."""
     rng, w, bias = np.random.default_rng(11), np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    xs = [scale[r] / np.sqrt(max(1, len(r))) for r in rows]
-    q = np.array([(x * x).sum() + 1.0 for x in xs])
+    q = np.array([(scale[r] ** 2).sum() / max(1, len(r)) + 1.0 for r in rows])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, x = rows[i], xs[i]
+            r = rows[i]
+            x = scale[r] / np.sqrt(max(1, len(r)))
             g = y[i] * (w[r] @ x + bias) - 1.0
             a = min(max(alpha[i] - g / q[i], 0.0), c[i])
             if (step := (a - alpha[i]) * y[i]) != 0.0:
@@ -171,11 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
         sums[y][b] = s
     p, q = sums[1] + 1.0, sums[0] + 1.0
     scale = np.log((p / p.sum()) / (q / q.sum()))
-    rows, ys = [], []
-    for y, x in got.where("bucket is null").orderBy("n").select("y", "x").limit(fit_rows).toLocalIterator():
-        rows.append(np.frombuffer(x, np.int32))
-        ys.append(y)
-    y = np.array(ys)
+    # one row for each hash, so at most fit_rows; fetched partition by partition into one buffer
+    one = got.where("bucket is null").groupBy("n").agg(F.min(F.struct("y", "x")).alias("s")).select("n", "s.y", "s.x")
+    held, facts = bytearray(), []
+    for o, y, x in one.toLocalIterator():
+        facts.append((o, y, len(held) // 4, len(x) // 4))
+        held += x
+    facts = sorted(facts)[:fit_rows]
+    flat = np.frombuffer(held, np.int32)
+    rows = [flat[at : at + size] for _, _, at, size in facts]
+    y = np.array([f[1] for f in facts])
     back = np.arange(len(y)) % 5 == 4
     if len(set(y[~back])) < 2 or len(set(y[back])) < 2:
         back = np.zeros(len(y), bool)
