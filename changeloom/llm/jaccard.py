@@ -9,8 +9,8 @@ coordinates. Pairs that survive are verified on the exact shingle sets, recomput
 
 Equal sets are one point. In rounds, each point first meets one other: of its leaves' first and last members that
 are of another component, that which it shares most leaves with. Leaves that links make whole are done (components
-need no more). When a round links nothing, what is open is joined pair by pair, across components, in tiles of
-bounded size; leaves with the same members are one.
+need no more). What is open after ROUNDS rounds is joined pair by pair, across components, in tiles of bounded size;
+leaves with the same members are one.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .textops import pieces, shingle_sets
 BAND, COARSE, TILE, LEAF = 1.5, 256, 512, 16
 #: Shingles for each group of the points that are indexed, and of those that pairs are bounded by before their sets meet.
 POINT, FINE = 2, 0.75
+#: Times that each point meets one other before open leaves are joined whole.
+ROUNDS = 2
 
 
 def _band(n: int) -> tuple[int, int, int]:
@@ -228,7 +230,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     drop_stored(own)
 
     comp, links, tried = None, None, None
-    while True:
+    for _ in range(ROUNDS):
         rows = members
         if comp is not None:
             rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -253,6 +255,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         comp = stored(components(links), "components")
     if comp is None:
         comp = stored(components(links), "components")
+    rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    ends = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    rows = stored(rows.join(ends.hint("shuffle_hash"), "key"), "open")
 
     # leaves with the same members are one
     leaf = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"))
