@@ -239,9 +239,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         at = F.struct("component", "doc_id")
         ends = rows.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
         ends = ends.where("first.component < last.component")
-        rows = stored(rows.join(ends.hint("shuffle_hash"), "key"), "open")  # leaves of one component are done
         other = F.when(F.col("component") != F.col("first.component"), F.col("first.doc_id")).otherwise(F.col("last.doc_id"))
-        star = rows.select(F.least(other, "doc_id").alias("a"), F.greatest(other, "doc_id").alias("b"))
+        rows = rows.join(ends.hint("shuffle_hash"), "key").select("key", "doc_id", other.alias("other"))
+        rows = stored(rows, "open")  # leaves of one component are done
+        drop_stored(members)
+        star = rows.select(F.least("other", "doc_id").alias("a"), F.greatest("other", "doc_id").alias("b"))
         star = star.groupBy("a", "b").agg(F.count("*").alias("n"))
         if tried is not None:
             star = star.join(tried, ["a", "b"], "left_anti")
@@ -257,7 +259,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         comp = stored(components(links), "components")
     rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     ends = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    rows = stored(rows.join(ends.hint("shuffle_hash"), "key"), "open")
+    rows = stored(rows.join(ends.hint("shuffle_hash"), "key").select("key", "doc_id", "component"), "open")
+    drop_stored(members)
 
     # leaves with the same members are one
     leaf = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"))
@@ -272,7 +275,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     rest = rest.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
     two = rest.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "counts").mapInPandas(_in_leaves(num, den), "a long, b long")
     two = two.distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(stored(two, "pairs"), docs, points, size, num, den)
+    two = stored(two, "pairs")
+    drop_stored(rows)
+    more = _verify(two, docs, points, size, num, den)
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
 
