@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Sides of at most this many bytes (counted rows times a row's bound) may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Spark's setting for removing the shuffle files of an execution at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut and survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut and survives lost executors.
+
+    The write's shuffle files go when it ends, as later plans read the table; the session's setting is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
