@@ -225,9 +225,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     own = stored(own.select("doc_id", F.explode("keys").alias("key")), "keys")
     keyed, points = points, stored(points.drop("keys"), "points")
     drop_stored(keyed)
-    leaders = own.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key")
-    members = stored(own.join(leaders.hint("shuffle_hash"), "key"), "members")
+    # a set has a key once; stored first, so that the counts' shuffle is gone before the join's
+    shared = stored(own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared")
+    members = stored(own.join(shared.hint("shuffle_hash"), "key"), "members")
     drop_stored(own)
+    drop_stored(shared)
 
     comp, links, tried = None, None, None
     for _ in range(ROUNDS):
