@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides of at most this many bytes (counted rows times a row's bound) may be broadcast.
+#: Sides of at most this many counted bytes may be broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Spark's setting for removing the shuffle files of an execution at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -49,9 +49,29 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sized(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hints a broadcast of a stored table only if its counted size is within ``limit``; else Spark shuffles."""
-    return F.broadcast(small) if small.count() * row_bytes <= limit else small
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, those of strings and arrays as they are, with 16 for each column and element."""
+    total = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            own = F.octet_length(c)
+        elif kind == "array<string>":
+            own = F.aggregate(c, F.lit(0), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
+        elif kind.startswith("array<") and "<" not in kind[6:] and "string" not in kind and "binary" not in kind:
+            own = 16 * F.size(c)
+        elif "<" in kind:
+            own = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            own = F.lit(0)
+        total = total + 16 + F.coalesce(own, F.lit(0))
+    return total
+
+
+def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast of a stored table only if the counted bytes of its rows are within ``limit``; else Spark shuffles."""
+    n = small.agg(F.sum(row_bytes(small))).first()[0] or 0
+    return F.broadcast(small) if n <= limit else small
 
 
 def ascii_lower(text: Column) -> Column:

@@ -57,15 +57,15 @@ def shared_spans(docs: DataFrame, items: DataFrame, k: int = K, window: int = WI
     marks = stored(index.select("h").distinct(), "marks")
 
     found = _winnowed(_hashed(d.select("doc_id", "th", words_of(F.col("text")).alias("words"))), ["doc_id", "th"], k, window)
-    found = found.join(sized(marks, 16), "h", "left_semi")
+    found = found.join(sized(marks), "h", "left_semi")
     found = stored(found.groupBy("doc_id", "th").agg(F.collect_set("h").alias("hs")), "candidates")
-    c = sized(found.withColumnsRenamed({"doc_id": "c_id", "th": "c_th"}), 600)
+    c = sized(found.withColumnsRenamed({"doc_id": "c_id", "th": "c_th"}))
     hit = d.join(c, d.doc_id.eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).dropDuplicates(["doc_id", "th"])
     hit = _hashed(hit.select("doc_id", "th", "hs", words_of(F.col("text")).alias("words")))
     hit = hit.select("doc_id", "th", "hs", "words", "wh", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))
     hit = hit.select("doc_id", "th", "p", "words", "hs", _gram(F.col("wh"), F.col("p"), k).alias("h")).where(F.array_contains("hs", F.col("h")))
     hit = hit.select("doc_id", "th", "p", "h", F.array(*(F.get("words", F.col("p") + j) for j in range(-reach, k + reach))).alias("own"))
-    hit = hit.join(sized(index, 400), "h")
+    hit = hit.join(sized(index), "h")
 
     def same(j: int) -> Column:
         return F.coalesce(F.get("own", F.lit(j + reach)) == F.get("near", F.lit(j + reach)), F.lit(False))
@@ -117,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, k: int
     own = stored(own.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), _covered(F.col("s")).cast("long").alias("x_hit"), "ids"), "hits")
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     d = docs.drop(*names).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).withColumn("x_th", F.xxhash64("text"))
-    out = d.join(sized(own, 600), d.doc_id.eqNullSafe(F.col("h_id")) & (F.col("x_th") == F.col("h_th")), "left")
+    out = d.join(sized(own), d.doc_id.eqNullSafe(F.col("h_id")) & (F.col("x_th") == F.col("h_th")), "left")
     out = out.withColumns({
         "n_hit": F.coalesce("x_hit", F.lit(0).cast("long")),
         "n_items": F.coalesce(F.size("ids"), F.lit(0)).cast("long"),

@@ -130,7 +130,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
 
     left = bound(pairs, points)
     ids = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.join(sized(ids, 16), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
     sets = stored(texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, n_shingles long, counts binary, shingles binary"), "sets")
     left = bound(left, sets)
     sets = sets.select("doc_id", "shingles")
@@ -299,7 +299,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     """
     c = jaccard_components(docs, size, num, den).where("doc_id <> component_id").select("doc_id")
     gone = stored(c.distinct(), "gone")
-    with_id = docs.where("doc_id is not null").join(sized(gone, 16), "doc_id", "left_anti")
+    with_id = docs.where("doc_id is not null").join(sized(gone), "doc_id", "left_anti")
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if not again.isEmpty():
         with_id = with_id.dropDuplicates(["doc_id"])

@@ -65,16 +65,16 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, contained: float = CONT
     # documents are keyed by id and text, so rows that share an id are judged by their own text
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = _bands(_hashes(d.select("doc_id", "th", words_of(F.col("text")).alias("words")), ["doc_id", "th"]), ["doc_id", "th"], STRIDE)
-    found = stored(found.join(sized(index, 64), "band").select("doc_id", "th", "template_id").distinct(), "retrieved")
+    found = stored(found.join(sized(index), "band").select("doc_id", "th", "template_id").distinct(), "retrieved")
     per = stored(found.groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_set("template_id").alias("ids")), "candidates")
-    hit = d.join(sized(per, 200), d.doc_id.eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).dropDuplicates(["doc_id", "th"])
+    hit = d.join(sized(per), d.doc_id.eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).dropDuplicates(["doc_id", "th"])
     words = hit.select("doc_id", "th", "ids", words_of(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
     own = words.select("doc_id", "th", "ids", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " "))).alias("own"))
-    own = own.select("doc_id", "th", "own", F.explode("ids").alias("template_id")).join(sized(t.select("template_id", "exact"), 4096), "template_id")
+    own = own.select("doc_id", "th", "own", F.explode("ids").alias("template_id")).join(sized(t.select("template_id", "exact")), "template_id")
     share = F.size(F.array_intersect("own", "exact")) / F.size("exact")
     good = own.select("doc_id", "th", "template_id", share.alias("share")).where(F.col("share") >= contained)
     good = good.groupBy(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th")).agg(F.array_sort(F.collect_set("template_id")).alias("ids"), F.max("share").alias("share"))
     good = stored(good, "matches")
     every = docs.select("doc_id", F.xxhash64("text").alias("th"))
-    out = every.join(sized(good, 200), every.doc_id.eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
+    out = every.join(sized(good), every.doc_id.eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
     return out.select("doc_id", F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("licenses"), F.coalesce("share", F.lit(0.0)).alias("containment"))

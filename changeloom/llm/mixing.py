@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, sized, stored
+from .common import BROADCAST_BYTES, n_words, sized, stored
 
 LEVELS = ("domain", "lang", "source")
 #: Order buckets of a leaf and epoch; documents are only sorted within the bucket in which a budget ends.
@@ -84,12 +84,13 @@ def mix(docs: DataFrame, weights: dict[tuple, float], share: float = 0.5, budget
                 plan.append((*leaf, n, e, left, max(1, supply[leaf][1] // BUCKET_ROWS)))
     fields = ", ".join(f"y{i} string" for i in range(len(levels)))
     plan_df = spark.createDataFrame(plan, f"{fields}, leaf int, epoch int, goal long, buckets long")
+    plan_bytes = sum(64 + sum(4 * len(x or "") + 16 for x in row[: len(levels)]) for row in plan)
     on = None
     for i in range(len(levels)):
         c = F.col(f"x{i}").eqNullSafe(F.col(f"y{i}"))
         on = c if on is None else on & c
     order = F.xxhash64("d", F.lit(seed), "epoch")
-    placed = ids.join(F.broadcast(plan_df) if len(plan) < 50_000 else plan_df, on)
+    placed = ids.join(F.broadcast(plan_df) if plan_bytes <= BROADCAST_BYTES else plan_df, on)
     placed = placed.select("leaf", "epoch", "goal", "t", "d", order.alias("o"), "buckets")
     # the order's hashes are even, so equal ranges of them are buckets of about equal size
     bucket = F.floor((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) * F.col("buckets")).cast("long")
@@ -98,13 +99,13 @@ def mix(docs: DataFrame, weights: dict[tuple, float], share: float = 0.5, budget
     before = F.coalesce(F.sum("s").over(W.partitionBy("leaf", "epoch").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     last = sums.withColumn("before", before).where("before < goal").groupBy("leaf", "epoch").agg(F.max_by("b", "b").alias("b"), F.max_by("before", "b").alias("before"))
     last = stored(last, "last")
-    end = placed.join(sized(last, 64), ["leaf", "epoch", "b"])
+    end = placed.join(sized(last), ["leaf", "epoch", "b"])
     sofar = F.coalesce(F.sum("t").over(W.partitionBy("leaf", "epoch", "b").orderBy("o", "d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cuts = end.withColumn("sofar", F.col("before") + sofar).where("sofar < goal").groupBy("leaf", "epoch").agg(F.max(F.struct("o", "d")).alias("cut"))
     cuts = cuts.select(F.col("leaf").alias("c_leaf"), F.col("epoch").alias("c_epoch"), "cut.*").withColumnsRenamed({"o": "c_o", "d": "c_d"})
     small = stored(plan_df.join(cuts, (F.col("leaf") == F.col("c_leaf")) & (F.col("epoch") == F.col("c_epoch"))).select(*(f"y{i}" for i in range(len(levels))), "epoch", "c_o", "c_d"), "cuts")
     new = ["epoch", "n_tokens", "rank_hash"]
     d = docs.drop(*new).withColumns({"x_d": F.xxhash64("doc_id", "text"), "n_tokens": tokens} | {f"x{i}": F.col(c).cast("string") for i, c in enumerate(levels)})
-    out = d.join(sized(small, 200), on).withColumn("rank_hash", F.xxhash64("x_d", F.lit(seed), "epoch"))
+    out = d.join(sized(small), on).withColumn("rank_hash", F.xxhash64("x_d", F.lit(seed), "epoch"))
     ok = (F.col("rank_hash") < F.col("c_o")) | ((F.col("rank_hash") == F.col("c_o")) & (F.col("x_d") <= F.col("c_d")))
     return out.where(ok & (F.col("n_tokens") > 0)).drop(*xs, *(f"y{i}" for i in range(len(levels))), "c_o", "c_d", "x_d")

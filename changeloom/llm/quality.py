@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
     if n1 in (0, n):
         return Model(np.zeros(1 << bits), 0.0, 1.0, float(np.log((n1 + 1) / (n - n1 + 1))), bits)
     cut = known.orderBy("o").limit(fit_rows).agg(F.max("o")).first()[0]
-    t = docs.select("doc_id", "text").join(sized(known, 32), F.col("doc_id") == F.col("l_id")).select("text", "y", "o")
+    t = docs.select("doc_id", "text").join(sized(known), F.col("doc_id") == F.col("l_id")).select("text", "y", "o")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, sums = Buckets(bits), np.zeros((2, 1 << bits), np.int64)

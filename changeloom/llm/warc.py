@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
     p = p.withColumns({"n": F.octet_length("payload").cast("long"), "digest": payload_digest(F.col("payload"))})
     lead = p.where((F.col("n") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("lead"), F.max("page_id").alias("last"))
     lead = stored(lead.where("lead < last").select("digest", "lead"), "leaders")
-    p = p.join(sized(lead, 64), "digest", "left")
+    p = p.join(sized(lead), "digest", "left")
     key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.expr("uuid()")))
     refers = F.when((F.col("page_id") > F.col("lead")) & (F.col("n") >= min_revisit_bytes), F.col("lead").cast("string"))
     rows = p.select(key.alias("key"), "url", "payload", "n", "digest", refers.alias("refers"))

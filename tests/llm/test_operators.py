@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, decontam, embeddup, jaccard, licenses, lm, mixing, pii, quality, warc
+from changeloom.llm import chat, common, decontam, embeddup, jaccard, licenses, lm, mixing, pii, quality, warc
 from changeloom.llm import queries as Q
 from changeloom.llm.common import components
 
@@ -45,6 +45,15 @@ def test_components(spark):
 
 # personal data
 
+def test_broadcasts_follow_counted_bytes(spark):
+    df = spark.createDataFrame([(1, "ab", ["x", None], [1, 2, 3]), (None, None, None, None)], "a long, s string, t array<string>, n array<long>")
+    assert [r[0] for r in df.select(common.row_bytes(df)).collect()] == [64 + 2 + 33 + 48, 64]
+    kept = common.stored(df, "sized")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.sized(kept)) and not hinted(common.sized(kept, 210)) and hinted(common.sized(kept, 211))
+    assert hinted(common.sized(kept.where("a = 7"), 0))
+
+
 def test_pii_base_matches_plain_patterns(spark, sf):
     def plain(t):
         out = []
