@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from changeloom.llm import decontam, jaccard, mixing, pii, quality
 from changeloom.llm.common import stored
-from changeloom.llm.queries import WEIGHTS, table, with_domain
+from changeloom.llm.queries import WEIGHTS, held_out, table, with_domain
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted to the labelled ones of these documents, scores at 0.3 or more."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    """Rows that the classifier scores at 0.3 or more. It is fitted to the labelled ones outside the held-out fold, as op2 is."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = quality.fit(docs, labels.select("doc_id", "quality"))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
