@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking.
 
 Messages are split into lines; leading '>' marks give each line's quote level. Lines at level 0 are a message's own
-text; runs of lines of one deeper level are quoted passages. Passages are normalised and hashed, line by line and as
-a whole, and joined within the conversation to the own lines of earlier messages. The message that a reply quotes
-most at its first level is its parent; a message that quotes nothing known follows the turn before it. Messages are
-returned without quotes, in an order in which every reply follows its parent.
+text; runs of lines of one deeper level, cut at blank ones, are quoted passages. Passages are normalised and hashed,
+line by line and as a whole, and joined within the conversation to earlier messages: lines to equal own lines, whole
+passages to the messages whose own words hold the passage's words in a row, however either is wrapped. The message
+that a reply quotes most at its first level is its parent; a message that quotes nothing known follows the turn
+before it. Messages are returned without quotes, in an order in which every reply follows its parent.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, sized, stored
 
 _QUOTE = r"^[\x20\t]*(?:>[\x20\t]*)+"
 #: "On Monday, A wrote:" before a quote is part of it.
 _INTRO = r"(?i)^[^>].*\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
+#: Words of the shingles by which passages find messages; a shorter passage is one shingle as a whole.
+SHINGLE = 4
 
 
 def normalised(line: Column) -> Column:
@@ -34,6 +37,50 @@ def parsed_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n"), one)
 
 
+def _passages(ls: Column) -> Column:
+    """Array of structs (level, text, hs) of lines (level, norm): the runs of one level above 0 without blank lines.
+
+    text is the normalised passage, hs the distinct hashes of its normalised lines.
+    """
+
+    def kind(x: Column) -> Column:
+        return F.when((x.level > 0) & (x.norm != ""), x.level).otherwise(0)
+
+    at = F.sequence(F.lit(1), F.size(ls))
+    starts = F.filter(at, lambda i: (i == 1) | (kind(F.get(ls, i - 1)) != kind(F.get(ls, i - 2))))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(ls) + 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.slice(ls, a, b - a))
+    runs = F.filter(runs, lambda r: kind(F.get(r, 0)) > 0)
+    return F.transform(runs, lambda r: F.struct(F.get(r, 0).level.alias("level"), F.array_join(F.transform(r, lambda x: x.norm), " ").alias("text"), F.array_distinct(F.transform(r, lambda x: F.xxhash64(x.norm))).alias("hs")))
+
+
+def _shingles(words: Column, n: Column) -> Column:
+    """Distinct hashes of the runs of ``n`` words."""
+    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))))
+
+
+def _passage_links(keyed: DataFrame) -> DataFrame:
+    """(conv_id, q_turn, m, level, h, at): the lines of quoted passages whose words stand in a row in turn ``at``.
+
+    Passages and messages meet by one shingle of the passage (its least hash) within the conversation, and are then
+    compared as texts. Shingles are taken only of the conversations and in the lengths in which something is quoted.
+    """
+    wanted = keyed.select("conv_id", F.col("turn").alias("q_turn"), "m", F.explode("passages").alias("p"))
+    wanted = wanted.select("conv_id", "q_turn", "m", "p.*", F.xxhash64("p.text").alias("p"))
+    wanted = stored(wanted.withColumn("size", F.least(F.size(F.split("text", " ")), F.lit(SHINGLE))), "wanted")
+    texts = wanted.groupBy("conv_id", "p").agg(F.first("text").alias("text"), F.first("size").alias("size"), F.max("q_turn").alias("last"))
+    texts = stored(texts.withColumn("g", F.array_min(_shingles(F.split("text", " "), F.col("size")))), "passages")
+    sizes = stored(texts.groupBy("conv_id", "size").agg(F.max("last").alias("last")), "sizes")
+    own = keyed.where("words <> ''").select("conv_id", "turn", F.col("m").alias("own_m"), "words").join(sized(sizes), "conv_id").where("turn < last")
+    own = own.select("conv_id", "turn", "own_m", "size", F.explode(_shingles(F.split("words", " "), F.col("size"))).alias("g"))
+    met = stored(own.join(sized(texts.select("conv_id", "size", "g", "p")), ["conv_id", "size", "g"]).select("conv_id", "turn", "own_m", "p"), "met")
+    met = met.join(texts.select("conv_id", "p", "text"), ["conv_id", "p"]).join(keyed.select(F.col("m").alias("own_m"), "words"), "own_m")
+    held = met.where(F.concat(F.lit(" "), "words", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("text"), F.lit(" "))))
+    held = held.select("conv_id", "p", F.col("turn").alias("at")).distinct()
+    out = wanted.select("conv_id", "q_turn", "m", "level", "hs", "p").join(held, ["conv_id", "p"]).where("at < q_turn")
+    return out.select("conv_id", "q_turn", "m", "level", F.explode("hs").alias("h"), "at")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """Per distinct message (conv_id, turn, role, text) its own text and its place in the conversation.
 
@@ -41,28 +88,33 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     are not blank), n_linked (of those, lines found in earlier messages), max_level, parent_turn (null at the start
     of a conversation), root_turn and depth. Sorted by conv_id, root_turn, turn, replies follow their parents.
 
+    A quoted line is found in a message that has it as a line of its own, or that holds the whole words of the line's
+    passage in a row (so a re-wrapped paragraph, or a part of a line, is found). Words are runs of letters and digits.
+
     Equal rows are one message. Messages that share conv_id and turn are separate, with the same parent. A quoted
     line that several earlier messages own counts for each of them; ties go to the latest. Rows without conv_id or
     turn keep their text and have no links. Null texts are empty. Conversations are never gathered in one task:
-    links are joins on (conv_id, line hash) of distinct lines, and depths come from pointer doubling. Other columns
-    are ignored.
+    links are joins on (conv_id, hash) of distinct lines and shingles, and depths come from pointer doubling. Other
+    columns are ignored.
     """
     m = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    m = m.withColumn("m", F.xxhash64("conv_id", "turn", "role", "text")).withColumn("ls", parsed_lines(F.col("text")))
-    quoted = F.filter("ls", lambda x: (x.level > 0) & (normalised(x.line) != ""))
-    own = F.filter("ls", lambda x, i: (x.level == 0) & ~(x.line.rlike(_INTRO) & (F.coalesce(F.get("ls", i + 1).level, F.lit(0)) > 0)))
+    m = m.withColumn("m", F.xxhash64("conv_id", "turn", "role", "text"))
+    m = m.withColumn("ls", F.transform(parsed_lines(F.col("text")), lambda x: F.struct(x.level.alias("level"), x.line.alias("line"), normalised(x.line).alias("norm"))))
+    m = m.withColumn("own", F.filter("ls", lambda x, i: (x.level == 0) & ~(x.line.rlike(_INTRO) & (F.coalesce(F.get("ls", i + 1).level, F.lit(0)) > 0))))
+    said = F.filter(F.transform("own", lambda x: x.norm), lambda x: x != "")
     m = m.select(
         "conv_id", "turn", "role", "m",
-        F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x.line), "\n"), r"\n{3,}", "\n\n")).alias("own"),
-        F.array_distinct(F.filter(F.transform(own, lambda x: normalised(x.line)), lambda x: x != "")).alias("lines"),
-        F.transform(quoted, lambda x: F.struct(x.level.alias("level"), F.xxhash64(normalised(x.line)).alias("h"))).alias("quotes"),
+        F.trim(F.regexp_replace(F.array_join(F.transform("own", lambda x: x.line), "\n"), r"\n{3,}", "\n\n")).alias("own"),
+        F.array_distinct(said).alias("lines"), F.array_join(said, " ").alias("words"),
+        F.transform(F.filter("ls", lambda x: (x.level > 0) & (x.norm != "")), lambda x: F.struct(x.level.alias("level"), F.xxhash64(x.norm).alias("h"))).alias("quotes"),
+        _passages(F.col("ls")).alias("passages"),
     )
     m = stored(m, "messages")
     keyed = m.where("conv_id is not null and turn is not null")
     wanted = keyed.select("conv_id", "turn", "m", F.explode("quotes").alias("q")).select("conv_id", F.col("turn").alias("q_turn"), "m", "q.*").distinct()
     lines = keyed.select("conv_id", "turn", F.explode("lines").alias("l")).select("conv_id", "turn", F.xxhash64("l").alias("h")).distinct()
     links = lines.join(wanted, ["conv_id", "h"]).where("turn < q_turn").select("conv_id", "q_turn", "m", "level", "h", F.col("turn").alias("at"))
-    links = stored(links, "links")
+    links = stored(links.unionByName(_passage_links(keyed)).distinct(), "links")
     votes = links.groupBy("m", "at").agg(F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("first"), F.count("*").alias("n"))
     parent = votes.groupBy("m").agg(F.max(F.struct("first", "n", "at")).alias("best")).select("m", F.col("best.at").alias("quoted_turn"))
     linked = links.select("m", "level", "h").distinct().groupBy("m").agg(F.count("*").alias("n_linked"))
@@ -70,7 +122,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
     m = m.join(parent, "m", "left").join(linked, "m", "left").join(before, ["conv_id", "turn"], "left")
     m = m.withColumn("parent_turn", F.coalesce("quoted_turn", "before"))
-    m = stored(m.drop("lines", "quoted_turn", "before"), "messages")
+    m = stored(m.drop("lines", "words", "passages", "quoted_turn", "before"), "messages")
 
     # a turn's place is that of the message of it with the earliest parent; parents are always earlier turns
     up = m.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("up"))

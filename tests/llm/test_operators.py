@@ -237,6 +237,44 @@ def test_quotation_linking(spark):
     assert chat.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_of_other_line_breaks(spark):
+    para = "The heap keeps its least entry at the root, and every push or pop moves entries along one path only. Paths have the length of a logarithm."
+    rows = [
+        (1, 0, "user", para + "\nThanks."), (1, 1, "user", "Use a sort. It is stable! And red-black trees are slower."), (1, 2, "user", "Nothing here."),
+        (1, 3, "user", "> The heap keeps its least entry at the root,\n> and every push or pop moves entries\n> along one path only. Paths have\n> the length of a logarithm. Thanks.\nre-wrapped"),
+        (1, 4, "user", "> It is stable!\none sentence"), (1, 5, "user", "> red-black\n> trees\nshort"), (1, 6, "user", "> every push or pop moves ENTRIES\n>\n> made up\npart of a line"),
+        (1, 7, "user", ">> along one path\n> short\n> but\nlevels"), (1, 8, "user", "> push or pop moves entries along another path\n> It is stab\nnot whole words"),
+        (2, 0, "user", "elsewhere"), (2, 1, "user", "> It is stable!\nother conversation"), (2, 2, "user", "> words that come later on\nx"), (2, 3, "user", "these words that come later on"),
+        (3, 0, "user", "one\ntwo"), (3, 1, "user", "> one two\n> one two\njoined"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_quoted, r.n_linked) for r in chat.link_quotes(df).collect()}
+    assert [got[1, t] for t in range(3, 9)] == [(0, 4, 4), (1, 1, 1), (1, 2, 2), (0, 2, 1), (5, 3, 2), (7, 2, 0)]
+    assert (got[2, 1], got[2, 2], got[3, 1]) == ((0, 1, 0), (1, 1, 0), (0, 2, 0))
+
+
+def test_quotes_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    said, rows = [], []
+    for t in range(60):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(1, 14)))
+        quote = ""
+        if t and rng.random() < 0.7:
+            src = said[rng.integers(0, t)].split()
+            a = rng.integers(0, len(src))
+            part = src[a : a + int(rng.integers(1, 9))] + ["w9"] * int(rng.random() < 0.2)
+            quote = "> " + "".join(w + ("\n> " if i + 1 < len(part) and rng.random() < 0.3 else " ") for i, w in enumerate(part)) + "\n"
+        said.append(own)
+        rows.append((1, t, "user", quote + own))
+    got = {r.turn: r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for _, t, _, text in rows:
+        lines = [x[2:].strip() for x in text.split("\n") if x.startswith("> ")]
+        whole = " ".join(lines)
+        votes = [(len({x for x in lines if x == said[s] or f" {whole} " in f" {said[s]} "}), s) for s in range(t)] if lines else []
+        best = max((v for v in votes if v[0]), default=None)
+        assert got[t].parent_turn == (best[1] if best else t - 1 if t else None), (t, text)
+
+
 # mixing
 
 def test_budgets():
