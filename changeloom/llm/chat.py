@@ -10,7 +10,7 @@ before it. Messages are returned without quotes, in an order in which every repl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, sized, stored
@@ -81,6 +81,21 @@ def _passage_links(keyed: DataFrame) -> DataFrame:
     return out.select("conv_id", "q_turn", "m", "level", F.explode("hs").alias("h"), "at")
 
 
+def _turns_before(turns: DataFrame) -> DataFrame:
+    """Distinct (conv_id, turn) with before, the conversation's greatest smaller turn (null for its first).
+
+    Looks back within ranges of (conv_id, turn), which cut long conversations; a range's first row takes the last one
+    of the range before it.
+    """
+    r = stored(turns.repartitionByRange("conv_id", "turn").withColumn("range", F.spark_partition_id()), "ranges")
+    ends = r.groupBy("range").agg(F.max(F.struct("conv_id", "turn")).alias("end"))  # one row a range
+    ends = ends.select(F.col("range"), F.lag("end").over(Window.orderBy("range")).alias("end"))
+    w = Window.partitionBy("range").orderBy("conv_id", "turn")
+    r = r.withColumn("prev", F.lag(F.struct("conv_id", "turn")).over(w)).join(F.broadcast(ends), "range")
+    prev = F.coalesce("prev", "end")
+    return r.select("conv_id", "turn", F.when(prev.conv_id == F.col("conv_id"), prev.turn).alias("before"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """Per distinct message (conv_id, turn, role, text) its own text and its place in the conversation.
 
@@ -118,8 +133,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     votes = links.groupBy("m", "at").agg(F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("first"), F.count("*").alias("n"))
     parent = votes.groupBy("m").agg(F.max(F.struct("first", "n", "at")).alias("best")).select("m", F.col("best.at").alias("quoted_turn"))
     linked = links.select("m", "level", "h").distinct().groupBy("m").agg(F.count("*").alias("n_linked"))
-    turns = stored(keyed.select("conv_id", "turn").distinct(), "turns")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
+    before = _turns_before(keyed.select("conv_id", "turn").distinct())
     m = m.join(parent, "m", "left").join(linked, "m", "left").join(before, ["conv_id", "turn"], "left")
     m = m.withColumn("parent_turn", F.coalesce("quoted_turn", "before"))
     m = stored(m.drop("lines", "words", "passages", "quoted_turn", "before"), "messages")

@@ -275,6 +275,14 @@ def test_quotes_against_brute_force(spark):
         assert got[t].parent_turn == (best[1] if best else t - 1 if t else None), (t, text)
 
 
+def test_turns_with_gaps(spark):
+    rows = [(c, t, "user", f"text {c} {t}") for c, ts in ((1, (0, 2, 5)), (2, (10,)), (3, range(0, 4000, 10))) for t in ts] + [(1, 5, "user", "another")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in chat.link_quotes(df).collect()}
+    assert [got[1, t] for t in (0, 2, 5)] == [(None, 0, 0), (0, 0, 1), (2, 0, 2)] and got[2, 10] == (None, 10, 0)
+    assert all(got[3, t] == (t - 10 if t else None, 0, t // 10) for t in range(0, 4000, 10))
+
+
 # mixing
 
 def test_budgets():
