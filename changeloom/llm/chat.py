@@ -155,14 +155,21 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", F.col("own").alias("text"), F.when(F.col("quotes").isNull(), 0).otherwise(F.size("quotes")).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(levels, F.lit(0)).cast("long").alias("max_level"), "parent_turn", "root_turn", "depth")
 
 
-def chat_pieces(linked: DataFrame, turns: int = 256) -> DataFrame:
-    """Conversations as chat records: conv_id, root_turn, piece and messages, an array of (turn, role, content).
+def chat_pieces(linked: DataFrame, turns: int = 256, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Conversations as chat records: conv_id, root_turn, piece and messages, an array of (turn, role, content, extra...).
 
     A piece holds the messages of ``turns`` consecutive turn numbers of one thread, so no task gathers an
     unbounded conversation; ordered by conv_id, root_turn and piece, the pieces are the conversations. Messages
-    without own text are left out.
+    without own text are left out. ``extra`` names further columns of ``linked`` that stay with each message.
     """
     rows = linked.where("text <> '' and conv_id is not null and turn is not null")
     rows = rows.withColumn("piece", F.floor(F.col("turn") / turns).cast("long"))
-    msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"), *extra)))
     return rows.groupBy("conv_id", "root_turn", "piece").agg(msgs.alias("messages"))
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """The chat pieces' messages as rows: conv_id, root_turn, piece, position (in the piece, from 0), turn, role, content,
+    n_quoted, n_linked, max_level, parent_turn and depth."""
+    pieces = chat_pieces(link_quotes(messages), extra=("n_quoted", "n_linked", "max_level", "parent_turn", "depth"))
+    return pieces.select("conv_id", "root_turn", "piece", F.posexplode("messages").alias("position", "x")).select("conv_id", "root_turn", "piece", "position", "x.*")

@@ -55,7 +55,7 @@ def op6_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+    return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

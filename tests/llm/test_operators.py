@@ -283,6 +283,15 @@ def test_turns_with_gaps(spark):
     assert all(got[3, t] == (t - 10 if t else None, 0, t // 10) for t in range(0, 4000, 10))
 
 
+def test_query_builds_conversations(spark, tmp_path):
+    rows = [(1, 300, "user", "> first\nfourth"), (1, 2, "user", "> first"), (1, 0, "user", "first"), (1, 1, "assistant", "> first\nsecond"), (2, 4, "user", "other")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = Q.queries()["op7_quotation_linking"](spark, str(tmp_path)).orderBy("conv_id", "root_turn", "piece", "position").collect()
+    assert [(r.conv_id, r.root_turn, r.piece, r.position, r.turn, r.content, r.parent_turn, r.depth) for r in got] == [
+        (1, 0, 0, 0, 0, "first", None, 0), (1, 0, 0, 1, 1, "second", 0, 1), (1, 0, 1, 0, 300, "fourth", 0, 1), (2, 4, 0, 0, 4, "other", None, 0),
+    ]
+
+
 # mixing
 
 def test_budgets():
