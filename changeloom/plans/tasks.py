@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..model import DML, ChangeError
 from ..operators import mapping, rows
-from ..operators.check import check_rows, report_lines
+from ..operators.check import check_rows, recheck, report_lines
 from ..sinks.tables import SnapshotTable, route_key, within_size
 from ..sources import changelog, scan
 from ..operators.apply import apply_changes
@@ -162,8 +162,14 @@ def _apply(mode: str):
 
 
 def _check_output(c: dict, spark: SparkSession):
+    kind = c.get("UpdateTimeType") or "time"
+    if kind not in ("time", "sec", "milli", "nano"):
+        raise ChangeError(f"MysqlCheckOutput: unknown UpdateTimeType {kind}")
+
     def run(df: DataFrame):
-        found = check_rows(df.select("new_row.*"), SnapshotTable(spark, c["Path"]).read(), c["Keys"])
+        source = df.select("new_row.*")
+        found = check_rows(source, SnapshotTable(spark, c["Path"]).read(), c["Keys"])
+        found = recheck(found, source, c["Keys"], c.get("UpdateTimeColumn") or None, skip_seconds=int(c.get("UpdateTimeSkipSeconds") or 0), kind=kind)
         lines = report_lines(found, c.get("Database", ""), c.get("Table", ""))
         return lines.write.mode("overwrite").text(c["ResultFilePath"]) if c.get("ResultFilePath") else lines
 

@@ -256,3 +256,21 @@ def test_order_without_loss(spark):
     d = spark.range(1_000_000).select(F.col("id").alias("seq"), F.lit("t").alias("k"), F.lit("update").alias("op"), F.col("id").alias("v")).withColumn("op", F.when(F.col("seq") == 0, "insert").otherwise("update"))
     r = N.net_changes(d.repartition(8), ["k"], images=["v"]).first()
     assert (r.originals, r.v, r.op) == (1_000_000, 999_999, "insert")
+
+
+def test_check_output_passes_over_recent_changes(spark, tmp_path):
+    import time
+
+    from changeloom.model import ChangeError
+    from changeloom.plans import tasks
+    from changeloom.sinks.tables import SnapshotTable
+
+    now = int(time.time())
+    SnapshotTable(spark, str(tmp_path / "t")).write(spark.createDataFrame([(1, "x", 0), (2, "x", 0)], "id long, v string, at long"), 0)
+    rows = spark.createDataFrame([(1, "y", now - 5000), (2, "y", now), (3, "y", now)], "id long, v string, at long")
+    df = rows.selectExpr("struct(*) AS new_row")
+    found = lambda **c: sorted(r[0].split()[0] + r[0].split("id:")[1][0] for r in tasks._check_output({"Path": str(tmp_path / "t"), "Keys": ["id"], **c}, spark)(df).collect())
+    assert found() == ["err:row_diff1", "err:row_diff2", "err:row_miss3"]
+    assert found(UpdateTimeColumn="at", UpdateTimeType="sec", UpdateTimeSkipSeconds=1000) == ["err:row_diff1", "err:row_miss3"]
+    with pytest.raises(ChangeError):
+        tasks._check_output({"Path": "x", "Keys": ["id"], "UpdateTimeType": "week"}, spark)
