@@ -3,9 +3,10 @@
 In DataFrame functions only. A window is eight consecutive words (four five-word shingles), taken every four shingles
 less one so that windows overlap; template windows are taken at every word. Each of the BANDS bands is one MinHash
 value. A window that shares s of its shingles with a template window of the same four (or fewer) collides in a band
-with probability J, their Jaccard similarity, and in some band with 1 - (1 - J) ** BANDS: at J = 1/4 (a five-word
-template inside a window) 0.999, at 1/2 and above over 0.9999999. Retrieved templates are verified on whole texts: the
-share of the template's distinct shingles that the document has.
+with probability J, their Jaccard similarity, and in some band with 1 - (1 - J) ** BANDS: at J = 1/4 0.999, at 1/2 and
+above over 0.9999999. Templates of fewer than four shingles have a band of their own, over windows of one shingle at
+every word, where J = 1 and none is lost. Retrieved templates are verified on whole texts: the share of the template's
+distinct shingles that the document has.
 """
 
 from __future__ import annotations
@@ -41,14 +42,21 @@ def _hashes(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _bands(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
-    """(keep..., band): the distinct band keys of a row's windows, every ``stride`` words; runs are made distinct."""
+    """(keep..., band): the band keys of a row's windows, every ``stride`` words, or of its single shingles, or both.
+
+    Bands from BANDS on are those of single shingles: with ``stride`` of them, every shingle has one. Rows that are
+    templates (stride 1) have single shingles if they are shorter than a window, else windows.
+    """
     n = F.size("wh") - (SHINGLE - 1)
-    at = df.where(F.size("wh") >= SHINGLE).select(*keep, "wh", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(stride))).alias("i"))
-    s = at.select(*keep, *(F.when(F.col("i") + j + (SHINGLE - 1) < F.size("wh"), F.xxhash64(*(F.get("wh", F.col("i") + j + k) for k in range(SHINGLE)))).alias(f"s{j}") for j in range(WINDOW)))
+    every = F.sequence(F.lit(0), F.lit(BANDS + stride - 1))
+    bands = F.when(n < WINDOW, F.array(F.lit(BANDS))).otherwise(F.sequence(F.lit(0), F.lit(BANDS - 1))) if stride == 1 else every
+    at = df.where(F.size("wh") >= SHINGLE).select(*keep, "wh", bands.alias("bs"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(stride))).alias("i"))
+    s = at.select(*keep, "bs", *(F.when(F.col("i") + j + (SHINGLE - 1) < F.size("wh"), F.xxhash64(*(F.get("wh", F.col("i") + j + k) for k in range(SHINGLE)))).alias(f"s{j}") for j in range(WINDOW)))
     # a band per generated row keeps the compiled loop small enough for the JIT
-    s = s.select(*keep, *(f"s{j}" for j in range(WINDOW)), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
+    s = s.select(*keep, *(f"s{j}" for j in range(WINDOW)), F.explode("bs").alias("b"))
     least = F.least(*(F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{j}", "b")) for j in range(WINDOW)))
-    return s.select(*keep, F.xxhash64("b", least).alias("band"))
+    single = F.coalesce(*(F.when(F.col("b") == BANDS + j, F.col(f"s{j}")) for j in range(stride)))
+    return s.select(*keep, F.when(F.col("b") < BANDS, F.xxhash64("b", least)).otherwise(F.xxhash64(F.lit(BANDS), single)).alias("band"))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) -> DataFrame:

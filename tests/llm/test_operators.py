@@ -193,6 +193,15 @@ def test_decontamination_edges(spark):
 
 # licenses
 
+def test_short_license_lines_are_never_lost(spark):
+    line = {0: "Released under the MIT License.", 1: "Licensed under CC BY-NC 4.0.", 2: "Licensed under CC BY 4.0."}
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(5 + i % 7)), line[i % 3], *(f"b{i}x{k}" for k in range(9))]) for i in range(30_000)]
+    t = spark.createDataFrame(licenses.TEMPLATES, "template_id string, text string")
+    out = licenses.scan_licenses(docs(spark, texts).select("doc_id", "text"), t)
+    names = {0: "MIT", 1: "CC-BY-NC-4.0", 2: "CC-BY-4.0"}
+    assert [(r.doc_id, r.licenses) for r in out.collect() if r.licenses != names[r.doc_id % 3]] == []
+
+
 def test_license_edges(spark):
     t = spark.createDataFrame([*licenses.TEMPLATES, (None, "a b c d e f"), ("short", "a b"), ("null", None)], "template_id string, text string")
     for name, text in licenses.TEMPLATES:
