@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ PATTERNS = {
 }
 #: Documents that the field's weights are trained on at most.
 FIT_ROWS = 3000
+#: Bytes of their texts at most.
+FIT_BYTES = 32 << 20
 LEAST = 0.5  # posterior of an added span
 _DIGITS = re.compile(r"[0-9]+")
 _DROP = re.compile(r"[^0-9]")
@@ -182,8 +185,37 @@ def train(texts: list[str], steps: int = 250) -> np.ndarray:
     return w
 
 
+def _swept(node, src, dst, pot, back, msg, sweeps: int = 25) -> np.ndarray:
+    """Messages edge by edge, up the tokens and down again, until none moves by 1e-3.
+
+    A sweep carries what is known along chains of any length, and is linear in the edges; a field with loops that does
+    not settle stops after ``sweeps``.
+    """
+    msg, total = msg.copy(), node.copy()
+    np.add.at(total, dst, msg)
+    up, down = np.flatnonzero(src < dst), np.flatnonzero(src > dst)
+    order = [*up[np.argsort(dst[up], kind="stable")].tolist(), *down[np.argsort(-dst[down], kind="stable")].tolist()]
+    for _ in range(sweeps):
+        most = 0.0
+        for e in order:
+            z = (total[src[e]] - msg[back[e]])[:, None] + pot[e]
+            top = z.max(axis=0)
+            new = np.log(np.exp(z - top).sum(axis=0)) + top
+            new -= new.max()
+            moved = new - msg[e]
+            total[dst[e]] += moved
+            msg[e] = new
+            most = max(most, float(np.abs(moved).max()))
+        if most < 1e-3:
+            break
+    return msg
+
+
 def posterior(x: np.ndarray, edges: list[tuple[int, int, int]], w: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Marginals by damped loopy sum-product messages, all edges at once."""
+    """Marginals by loopy sum-product messages: damped, all edges at once, and by sweeps if those have not settled.
+
+    A round moves what is known by one edge, so long chains of mentions need the sweeps (see :func:`_swept`).
+    """
     node = x @ w[:NF]
     if edges:
         a = np.array(edges)
@@ -203,6 +235,8 @@ def posterior(x: np.ndarray, edges: list[tuple[int, int, int]], w: np.ndarray, r
                 msg = new
                 break
             msg = new
+        else:
+            msg = _swept(node, src, dst, pot, back, msg)
         node = node.copy()
         np.add.at(node, dst, msg)
     p = np.exp(node - node.max(axis=1, keepdims=True))
@@ -235,10 +269,23 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Trains on at most ``fit_rows`` documents with candidates: those of the smallest text hashes, 20 kB of each at most counted whole."""
-    t = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= 20_000))
-    rows = t.withColumn("o", F.xxhash64("text")).orderBy("o").limit(fit_rows).select("text").toLocalIterator()
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> np.ndarray:
+    """Trains on whole texts with candidates: at most ``fit_rows``, of the smallest text hashes, and ``fit_bytes`` in all.
+
+    A text that no longer fits is passed over, but the first is always taken. Warns if there is none to train on.
+    """
+    t = docs.select("text").where(F.col("text").rlike("[0-9@]")).withColumn("o", F.xxhash64("text"))
+    left, taken, over = fit_bytes, 0, set()
+    last = None
+    for o, n in t.select("o", F.octet_length("text")).orderBy("o").limit(fit_rows).collect():
+        if n <= left or not taken:
+            left, taken, last = left - n, taken + 1, o
+        else:
+            over.add(o)
+    if not taken:
+        warnings.warn("personal data: no text with a digit or '@' to train on; nothing is added to the patterns' matches", stacklevel=2)
+        return train([])
+    rows = t.where((F.col("o") <= last) & ~F.col("o").isin(over - {last})).orderBy("o").limit(taken).select("text").toLocalIterator()
     return train([r[0] for r in rows])
 
 

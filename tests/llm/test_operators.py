@@ -81,6 +81,32 @@ def test_pii_adds_consistent_mentions(spark):
     assert pii.mask(docs(spark, ["x a@b.co y", None]), w).select("text").collect() == [("x [email] y",), (None,)]
 
 
+def test_distant_mentions_agree():
+    n = 60
+    x, w = np.zeros((n, pii.NF)), np.zeros((pii.NF + 2 * pii.L, pii.L))
+    x[0, 1], x[1:, 0] = 1, 1
+    w[1, 4], w[0, 0], w[pii.NF + pii.L :] = 9, 0.02, 7 * np.eye(pii.L)
+    node, pot = x @ w[: pii.NF], w[pii.NF + pii.L :]
+    ahead, behind = np.zeros((n, pii.L)), np.zeros((n, pii.L))  # a chain's sums are exact
+    for i in range(1, n):
+        ahead[i] = np.logaddexp.reduce((node[i - 1] + ahead[i - 1])[:, None] + pot, axis=0)
+        j = n - 1 - i
+        behind[j] = np.logaddexp.reduce((node[j + 1] + behind[j + 1])[:, None] + pot, axis=0)
+    z = node + ahead + behind
+    want = np.exp(z - np.logaddexp.reduce(z, axis=1)[:, None])
+    assert want[-1].argmax() == 4
+    assert np.abs(pii.posterior(x, [(i - 1, i, 1) for i in range(1, n)], w) - want).max() < 0.01
+
+
+def test_pii_trains_on_long_texts(spark):
+    long = "ring +14155550123 today and in 1999. " + "word " * 5000
+    assert np.abs(pii.fit(docs(spark, [long]))).max() > 0
+    few = pii.fit(docs(spark, [long, "in 2001 call +493012345678", "x a@b.co 17"]), fit_bytes=60)
+    assert np.abs(few).max() > 0
+    with pytest.warns(UserWarning, match="to train on"):
+        assert not pii.fit(docs(spark, ["none", None])).any()
+
+
 def test_pii_edges(spark):
     out = pii.find_pii(edge(spark), np.zeros((pii.NF + 2 * pii.L, pii.L))).collect()
     assert len(out) == len(EDGE) + 2 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in out)
