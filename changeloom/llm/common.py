@@ -74,6 +74,36 @@ def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(small) if n <= limit else small
 
 
+def free_names(taken, *names: str) -> list[str]:
+    """``names``, each with as many '_' behind it as make it differ from the ``taken`` column names and the others."""
+    seen, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in seen:
+            n += "_"
+        seen.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(columns) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def hash_cut(df: DataFrame, column: str, k: int, n: int) -> int | None:
+    """The ``k``-th smallest distinct value of a hash column of about ``n`` distinct ones, or its largest; None without any.
+
+    Only values below a cut-off that leaves about 1.5 k of them move, so what one task gets does not grow with the
+    number of partitions; a cut-off that leaves too few is raised.
+    """
+    share = 1.0 if n <= 2 * k else 1.5 * k / n
+    while True:
+        d = df if share >= 1 else df.where(F.col(column) < int(-(2**63) + share * 2**64))
+        low = [r[0] for r in d.select(column).distinct().orderBy(column).limit(k).collect()]
+        if len(low) >= k or share >= 1:
+            return low[-1] if low else None
+        share *= 4
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; texts of single-byte characters take the fast path. Null gives ''."""
     t = F.coalesce(text.cast("string"), F.lit(""))

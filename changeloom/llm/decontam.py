@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, stored
+from .common import ascii_lower, free_names, sized, stored
 
 K, WINDOW = 4, 8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,14 +82,19 @@ def shared_spans(docs: DataFrame, items: DataFrame, k: int = K, window: int = WI
     hit = hit.where(core).select("doc_id", "th", "item_id", "p", run([-j for j in range(1, reach + 1)]).alias("left"), run(list(range(k, k + reach))).alias("right"))
     spans = hit.where(F.col("left") + F.col("right") + k >= window).select("doc_id", "th", "item_id", (F.col("p") - F.col("left")).alias("lo"), (F.col("p") + F.col("right") + (k - 1)).alias("hi"))
 
-    for (n,) in it.where(F.size("words") < window).select(F.size("words")).distinct().collect():  # at most window - 1 lengths
-        short = it.where(F.size("words") == n).select("item_id", F.col("words").alias("whole"), _gram(F.col("wh"), F.lit(0), n).alias("h"))
-        own = _hashed(d.select("doc_id", "th", words_of(F.col("text")).alias("words"))).where(F.size("words") >= n)
-        own = own.select("doc_id", "th", "words", "wh", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("p"))
-        own = own.select("doc_id", "th", "p", _gram(F.col("wh"), F.col("p"), n).alias("h"), F.array(*(F.get("words", F.col("p") + j) for j in range(n))).alias("here"))
-        own = own.join(short, "h").where("here = whole").select("doc_id", "th", "item_id", F.col("p").alias("lo"), (F.col("p") + (n - 1)).alias("hi"))
-        spans = spans.unionByName(own)
-    return spans
+    lengths = [n for (n,) in it.where(F.size("words") < window).select(F.size("words")).distinct().collect()]  # at most window - 1
+    if not lengths:
+        return spans
+    # all lengths of short items in one pass over the documents
+    whole = F.coalesce(*(F.when(F.size("words") == n, _gram(F.col("wh"), F.lit(0), n)) for n in lengths))
+    short = stored(it.where(F.size("words") < window).select("item_id", F.col("words").alias("whole"), F.size("words").alias("n"), whole.alias("h")), "short")
+    own = _hashed(d.select("doc_id", "th", words_of(F.col("text")).alias("words"))).where(F.size("words") >= min(lengths))
+    own = own.select("doc_id", "th", "words", "wh", F.explode(F.sequence(F.lit(0), F.size("words") - min(lengths))).alias("p"))
+    kinds = F.array(*(F.struct(F.lit(n).alias("n"), F.when(F.col("p") + n <= F.size("words"), _gram(F.col("wh"), F.col("p"), n)).alias("h")) for n in lengths))
+    own = own.select("doc_id", "th", "p", "words", F.explode(kinds).alias("x")).where("x.h is not null")
+    own = own.select("doc_id", "th", "p", "x.n", "x.h", F.slice("words", F.col("p") + 1, F.col("x.n")).alias("here"))
+    own = own.join(sized(short), ["n", "h"]).where("here = whole").select("doc_id", "th", "item_id", F.col("p").alias("lo"), (F.col("p") + (F.col("n") - 1)).alias("hi"))
+    return spans.unionByName(own)
 
 
 def _covered(spans: Column) -> Column:
@@ -107,21 +112,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, k: int
 
     Null or empty texts have no words and no hits (items_sha256 is then that of the empty string). Repeated rows
     each get their own equal result; rows of one doc_id with different texts are judged apart. Columns of these
-    names that docs has already are replaced. An empty benchmark or an empty docs table gives no hits or no rows.
+    names that docs has already are replaced; other columns may have any name. An empty benchmark or an empty docs table gives no hits or no rows.
     """
     spans = shared_spans(docs, items, k, window)
     own = spans.groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"),
         F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("ids"),
     )
-    own = stored(own.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), _covered(F.col("s")).cast("long").alias("x_hit"), "ids"), "hits")
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    d = docs.drop(*names).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).withColumn("x_th", F.xxhash64("text"))
-    out = d.join(sized(own), d.doc_id.eqNullSafe(F.col("h_id")) & (F.col("x_th") == F.col("h_th")), "left")
+    d = docs.drop(*names)
+    th, h_id, h_th, hit, ids = free_names([*d.columns, *names], "x_th", "h_id", "h_th", "x_hit", "x_ids")
+    own = stored(own.select(F.col("doc_id").alias(h_id), F.col("th").alias(h_th), _covered(F.col("s")).cast("long").alias(hit), F.col("ids").alias(ids)), "hits")
+    d = d.withColumns({"n_words": F.size(words_of(F.col("text"))).cast("long"), th: F.xxhash64("text")})
+    out = d.join(sized(own), F.col("doc_id").eqNullSafe(F.col(h_id)) & (F.col(th) == F.col(h_th)), "left")
+    n_items = F.when(F.col(ids).isNull(), F.lit(0)).otherwise(F.size(ids)).cast("long")
     out = out.withColumns({
-        "n_hit": F.coalesce("x_hit", F.lit(0).cast("long")),
-        "n_items": F.coalesce(F.size("ids"), F.lit(0)).cast("long"),
-        "items_sha256": F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256),
+        "n_hit": F.coalesce(hit, F.lit(0).cast("long")), "n_items": n_items,
+        "items_sha256": F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")), 256), "contaminated": n_items >= min_items,
     })
-    out = out.withColumn("n_items", F.when(F.col("ids").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_items")))
-    return out.withColumn("contaminated", F.col("n_items") >= min_items).drop("x_th", "h_id", "h_th", "x_hit", "ids")
+    return out.drop(th, h_id, h_th, hit, ids)
