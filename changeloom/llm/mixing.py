@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, n_words, sized, stored
+from .common import BROADCAST_BYTES, free_names, n_words, sized, stored
 
 LEVELS = ("domain", "lang", "source")
-#: Order buckets of a leaf and epoch; documents are only sorted within the bucket in which a budget ends.
-BUCKET_ROWS = 10_000
+#: Rows of an order bucket of a leaf and epoch; documents are only sorted within the bucket in which a budget ends.
+BUCKET_ROWS = 2_000
+#: Buckets of a leaf at most (beyond, they get more rows): one task sums those of a leaf and epoch.
+BUCKETS = 1 << 16
 
 
 def split_budget(budget: float, weights: list[float], caps: list[float]) -> list[float]:
@@ -70,24 +72,26 @@ def mix(docs: DataFrame, weights: dict[tuple, float], share: float = 0.5, budget
     """
     spark = docs.sparkSession
     tokens = n_words(F.col("text"))
-    ids = docs.select(*(F.col(c).cast("string").alias(f"x{i}") for i, c in enumerate(levels)), F.xxhash64("doc_id", "text").alias("d"), tokens.alias("t"))
-    xs = [f"x{i}" for i in range(len(levels))]
+    new, n = ["epoch", "n_tokens", "rank_hash"], len(levels)
+    names = free_names([*docs.columns, *new, "leaf", "goal", "buckets", "d", "t"], *(f"x{i}" for i in range(n)), *(f"y{i}" for i in range(n)), "x_d", "c_o", "c_d")
+    xs, ys, (x_d, c_o, c_d) = names[:n], names[n : 2 * n], names[2 * n :]
+    ids = docs.select(*(F.col(c).cast("string").alias(x) for c, x in zip(levels, xs)), F.xxhash64("doc_id", "text").alias("d"), tokens.alias("t"))
     ids = stored(ids.where("t > 0").groupBy(*xs, "d").agg(F.sum("t").alias("t")), "tokens")
     supply = {tuple(r[:-2]): (int(r[-2]), int(r[-1])) for r in ids.groupBy(*xs).agg(F.sum("t"), F.count("*")).toLocalIterator()}
     total = sum(t for t, _ in supply.values())
     goal = leaf_budgets({k: t for k, (t, _) in supply.items()}, float(budget if budget is not None else total * share), weights, epochs)
     plan, known = [], sorted(supply, key=str)
-    for n, leaf in enumerate(known):
+    for at, leaf in enumerate(known):
         for e in range(epochs):
             left = goal.get(leaf, 0) - e * supply[leaf][0]
             if left > 0:
-                plan.append((*leaf, n, e, left, max(1, supply[leaf][1] // BUCKET_ROWS)))
-    fields = ", ".join(f"y{i} string" for i in range(len(levels)))
+                plan.append((*leaf, at, e, left, min(BUCKETS, max(1, supply[leaf][1] // BUCKET_ROWS))))
+    fields = ", ".join(f"{y} string" for y in ys)
     plan_df = spark.createDataFrame(plan, f"{fields}, leaf int, epoch int, goal long, buckets long")
     plan_bytes = sum(64 + sum(4 * len(x or "") + 16 for x in row[: len(levels)]) for row in plan)
     on = None
-    for i in range(len(levels)):
-        c = F.col(f"x{i}").eqNullSafe(F.col(f"y{i}"))
+    for x, y in zip(xs, ys):
+        c = F.col(x).eqNullSafe(F.col(y))
         on = c if on is None else on & c
     order = F.xxhash64("d", F.lit(seed), "epoch")
     placed = ids.join(F.broadcast(plan_df) if plan_bytes <= BROADCAST_BYTES else plan_df, on)
@@ -102,10 +106,9 @@ def mix(docs: DataFrame, weights: dict[tuple, float], share: float = 0.5, budget
     end = placed.join(sized(last), ["leaf", "epoch", "b"])
     sofar = F.coalesce(F.sum("t").over(W.partitionBy("leaf", "epoch", "b").orderBy("o", "d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cuts = end.withColumn("sofar", F.col("before") + sofar).where("sofar < goal").groupBy("leaf", "epoch").agg(F.max(F.struct("o", "d")).alias("cut"))
-    cuts = cuts.select(F.col("leaf").alias("c_leaf"), F.col("epoch").alias("c_epoch"), "cut.*").withColumnsRenamed({"o": "c_o", "d": "c_d"})
-    small = stored(plan_df.join(cuts, (F.col("leaf") == F.col("c_leaf")) & (F.col("epoch") == F.col("c_epoch"))).select(*(f"y{i}" for i in range(len(levels))), "epoch", "c_o", "c_d"), "cuts")
-    new = ["epoch", "n_tokens", "rank_hash"]
-    d = docs.drop(*new).withColumns({"x_d": F.xxhash64("doc_id", "text"), "n_tokens": tokens} | {f"x{i}": F.col(c).cast("string") for i, c in enumerate(levels)})
-    out = d.join(sized(small), on).withColumn("rank_hash", F.xxhash64("x_d", F.lit(seed), "epoch"))
-    ok = (F.col("rank_hash") < F.col("c_o")) | ((F.col("rank_hash") == F.col("c_o")) & (F.col("x_d") <= F.col("c_d")))
-    return out.where(ok & (F.col("n_tokens") > 0)).drop(*xs, *(f"y{i}" for i in range(len(levels))), "c_o", "c_d", "x_d")
+    cuts = cuts.select(F.col("leaf").alias("c_leaf"), F.col("epoch").alias("c_epoch"), F.col("cut.o").alias(c_o), F.col("cut.d").alias(c_d))
+    small = stored(plan_df.join(cuts, (F.col("leaf") == F.col("c_leaf")) & (F.col("epoch") == F.col("c_epoch"))).select(*ys, "epoch", c_o, c_d), "cuts")
+    d = docs.drop(*new).withColumns({x_d: F.xxhash64("doc_id", "text"), "n_tokens": tokens} | {x: F.col(c).cast("string") for c, x in zip(levels, xs)})
+    out = d.join(sized(small), on).withColumn("rank_hash", F.xxhash64(x_d, F.lit(seed), "epoch"))
+    ok = (F.col("rank_hash") < F.col(c_o)) | ((F.col("rank_hash") == F.col(c_o)) & (F.col(x_d) <= F.col(c_d)))
+    return out.where(ok & (F.col("n_tokens") > 0)).drop(*xs, *ys, c_o, c_d, x_d)
