@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sized, stored
+from .common import hash_cut, mix64, sized, stored
 from .textops import pieces
 
 BITS = 18
@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
     Bucket counts are of all labelled documents, summed in the workers before they are shuffled, and at most
     2 ** bits rows reach the driver. The hinge-loss model sees at most ``fit_rows`` of them (those with the smallest
     hashes of doc_id); a fifth of these is held back for the logistic curve. With one class only, or no labels, the
-    score is the smoothed share of label 1. A doc_id with several labels counts with the larger one.
+    score is the smoothed share of label 1. A doc_id with several labels counts with the larger one; each row of
+    docs of a labelled doc_id counts.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").cast("int").alias("y"))
     known = known.withColumn("o", F.xxhash64("l_id", F.lit(5)))
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
     n1, n = (int(x or 0) for x in known.agg(F.sum("y"), F.count("*")).first())
     if n1 in (0, n):
         return Model(np.zeros(1 << bits), 0.0, 1.0, float(np.log((n1 + 1) / (n - n1 + 1))), bits)
-    cut = known.orderBy("o").limit(fit_rows).agg(F.max("o")).first()[0]
+    cut = hash_cut(known, "o", fit_rows, n)
     t = docs.select("doc_id", "text").join(sized(known), F.col("doc_id") == F.col("l_id")).select("text", "y", "o")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
