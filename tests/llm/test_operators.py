@@ -414,3 +414,48 @@ def test_pipeline_stages(spark, sf):
     empty = Q.table(spark, sf, "documents").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+# names of other columns
+
+CLASH = ["ids", "x_ids", "h_id", "h_th", "x_hit", "x_th", "x0", "Y1", "c_o", "c_d", "x_d", "leaf", "goal", "d", "t", "o", "l_id", "y", "epoch_", "a", "b", "key", "rep", "component", "node", "words", "p", "th"]
+
+
+def test_other_columns_may_have_any_name(spark, sf):
+    import corpus_pipeline as P
+
+    d = Q.table(spark, sf, "documents")
+    wide = d.withColumns({c: F.lit("v") for c in CLASH})
+    bench = Q.table(spark, sf, "benchmark")
+    same = lambda a, b, key: sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+    assert same(decontam.decontaminate(wide, bench), decontam.decontaminate(d, bench), ["doc_id", "n_hit", "n_items", "items_sha256"])
+    assert set(wide.columns) < set(decontam.decontaminate(wide, bench).columns)
+    assert same(mixing.mix(Q.with_domain(wide), Q.WEIGHTS), mixing.mix(Q.with_domain(d), Q.WEIGHTS), ["doc_id", "epoch", "n_tokens"])
+    assert set(wide.columns) < set(mixing.mix(Q.with_domain(wide), Q.WEIGHTS).columns)
+    for name, stage in P.STAGES:
+        got, want = stage(spark, wide, sf), stage(spark, d, sf)
+        assert same(got, want, d.columns), name
+        assert got.select(*CLASH).distinct().collect() == [("v",) * len(CLASH)], name
+
+
+def test_short_items_of_several_lengths(spark):
+    items = spark.createDataFrame([("a", "red"), ("b", "Red fox"), ("c", "red fox runs far away today"), ("d", "")], "item_id string, text string")
+    texts = ["a red fox runs", "fox red", "RED FOX RUNS FAR AWAY TODAY", "nothing", None, "re d", "red"]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.decontaminate(docs(spark, texts), items).collect()}
+    assert got == {0: (2, 2), 1: (1, 1), 2: (6, 3), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (1, 1)}
+
+
+def test_long_runs_of_digits_take_linear_time():
+    import time
+
+    t = time.time()
+    assert pii.base_spans("1" * 1_000_000 + ".5") == []
+    assert pii.base_spans("1." * 300_000)[0] == (0, 1, 7)
+    assert time.time() - t < 5
+
+
+def test_cut_off_of_hashes(spark):
+    d = spark.range(20_000).select(F.xxhash64("id").alias("o")).unionByName(spark.range(5000).select(F.xxhash64(F.lit(3)).alias("o")))
+    every = sorted(r[0] for r in d.distinct().collect())
+    assert common.hash_cut(d, "o", 100, 20_000) == every[99] == common.hash_cut(d, "o", 100, 10**9) and common.hash_cut(d, "o", 10**6, 5) == every[-1]
+    assert common.hash_cut(d.limit(0), "o", 5, 0) is None
