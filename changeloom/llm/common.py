@@ -129,10 +129,10 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b: long), by alternating large and small stars.
 
     Returns (node, component): one row for each node that has an edge to another node, component being its
-    smallest node. Every round is written to the shared folder; nothing is collected but two numbers. A node
-    with very many edges only meets joins whose partitions Spark can split and sums with map-side parts.
+    smallest node. Every round is written to the shared folder; nothing is collected but two numbers. The least
+    neighbours are stored before edges are joined to them, so that no join hangs on its own edges' grouping and Spark
+    can split the partition of a node with very many edges (or broadcast the nodes, if they are few).
     """
-    spark = edges.sparkSession
     e = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
@@ -143,14 +143,15 @@ def components(edges: DataFrame) -> DataFrame:
     was = mark(e)
     while was[0]:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        low = stored(sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
+        large = sym.join(sized(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(sized(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         nxt = stored(small.select("x.*").where("u <> v").distinct(), "edges")
         now = mark(nxt)
-        drop_stored(e)
+        for old in (e, low, large, least):
+            drop_stored(old)
         e = nxt
         if now == was:
             break

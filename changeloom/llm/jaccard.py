@@ -1,16 +1,17 @@
 """N-gram Jaccard join by a distributed count-vector R-tree.
 
-Shingles are hashed into groups and a document is the point of its group counts. Two sets of similarity j differ in
-at most D = (|A| + |B|)(1 - j) / (1 + j) shingles, so their points are at most D apart (L1). The tree's upper level
-packs points by a size band and by D + 2 blocks of groups: two of the blocks at least must be equal, so points that
-can be within reach meet in a leaf of equal block sub-vectors. Below it, points are packed into boxes of coarse
-counts (sorted by size), and the overlap of two boxes or points is bounded by the summed minima of their
-coordinates. Pairs that survive are verified on the exact shingle sets, recomputed from the whole texts.
-
-Equal sets are one point. In rounds, each point first meets one other: of its leaves' first and last members that
-are of another component, that which it shares most leaves with. Leaves that links make whole are done (components
-need no more). What is open after ROUNDS rounds is joined pair by pair, across components, in tiles of bounded size;
-leaves with the same members are one.
+Shingles are hashed into groups and a document is the point of its group counts: a sparse vector of GROUPS groups, and
+its folds into fewer groups. Two sets of similarity j differ in at most D = (|A| + |B|)(1 - j) / (1 + j) shingles, so
+their points are at most D apart (L1). The tree's upper level packs points by a size band and by the sub-vectors of D + 2
+blocks of groups: two of the blocks at least have equal counts, so points that can be within reach meet in a leaf.
+Below it, a leaf's points are packed into boxes (sorted by size and counts) with the maxima of their coordinates, and
+the overlap of two boxes or points is bounded by the summed minima of their coordinates. All candidates come from
+this search; those that survive finer points too are verified on the exact shingle sets, from the whole texts.
+
+Equal sets are one point, and leaves with the same members are one. A point of a group of copies need not meet all
+others: in each of ROUNDS rounds the search gives, for every point, the nearest one before it in its leaf that is of
+another component and within the bound. Leaves that links make whole are done. What is open then is searched for all
+pairs across components, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import components, drop_stored, mix64, sized, stored
 from .textops import pieces, shingle_sets
 
-BAND, COARSE, TILE, LEAF = 1.5, 256, 512, 16
-#: Shingles for each group of the points that are indexed, and of those that pairs are bounded by before their sets meet.
+#: Groups of the indexed point, and of its fold that boxes are made of.
+GROUPS, COARSE = 1 << 20, 256
+BAND, TILE, LEAF = 1.5, 512, 16
+#: Shingles for each group of the folds that candidates are bounded by, the latter before their sets meet.
 POINT, FINE = 2, 0.75
-#: Times that each point meets one other before open leaves are joined whole.
+#: Times that the search gives each point one other before open leaves are searched for all pairs.
 ROUNDS = 2
 
 
@@ -50,21 +53,25 @@ def required(a, b, num: int, den: int):
 
 
 def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Leaf keys of a set: hashes of its block sub-vectors, for its size band and, near the border, the one below."""
+    """Leaf keys of a set: hashes of its point's block sub-vectors, for its size band and, near the border, the one below.
+
+    A sub-vector's hash sums a hash of each group as often as the group counts, so equal counts have equal hashes.
+    """
     n, keys = len(s), []
     own = _band(n)
     bands = [own]
     least = -(-num * n // den)  # a partner has at least as many
     if least < own[1]:
         bands.append(_band(own[1] - 1))
-    mixed = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
+    group = s & np.uint64(GROUPS - 1)
+    mixed, weight = mix64(group ^ np.uint64(0x5851F42D4C957F2D)), mix64(group + np.uint64(1))
     for t, _, high in bands:
         other = high * den // num
         k = (high + other) - 2 * required(high, other, num, den) + 2
         k = max(k, (high + other) * (den - num) // (den + num) + 2)
         block = (mixed % np.uint64(k)).astype(np.int64)
         sums, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-        np.add.at(sums, block, mix64(s))
+        np.add.at(sums, block, weight)
         filled[block] = True
         if k - filled.sum() < 2:  # of two equal blocks one is filled
             ids = np.flatnonzero(filled)
@@ -74,12 +81,12 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
-def group_counts(s: np.ndarray, per_group: float) -> bytes:
-    """The point of a set: counts of a power of two of groups, about one for each ``per_group`` shingles.
+def group_counts(s: np.ndarray, per_group: float | None) -> bytes:
+    """The point of a set: counts of a power of two of groups, about one for each ``per_group`` shingles (None: COARSE).
 
-    A fixed number would bound nothing for long texts, whose counts are all near their mean.
+    A fixed number bounds little for long texts, whose counts are all near their mean, but boxes must be small.
     """
-    g = max(COARSE, 1 << max(0, int(len(s) / per_group).bit_length() - 1))
+    g = COARSE if per_group is None else max(COARSE, 1 << max(0, int(len(s) / per_group).bit_length() - 1))
     c = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
     width = next(w for w in (1, 2, 4) if c.max(initial=0) < 1 << 8 * w)
     return bytes([width]) + c.astype(f"<u{width}").tobytes()
@@ -103,16 +110,16 @@ def _sketch(size: int, num: int, den: int, keyed: bool):
                 for i, s in zip(ids[a:b], shingle_sets(texts[a:b], size)):
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     if keyed:
-                        rows.append((i, len(s), d, group_counts(s, POINT), block_keys(s, num, den) if len(s) else np.zeros(0, np.int64)))
+                        rows.append((i, len(s), d, group_counts(s, POINT), group_counts(s, None), block_keys(s, num, den) if len(s) else np.zeros(0, np.int64)))
                     else:
-                        rows.append((i, len(s), group_counts(s, FINE), s.tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", "keys"] if keyed else ["doc_id", "n_shingles", "counts", "shingles"])
+                        rows.append((i, len(s), d, group_counts(s, FINE), s.tobytes()))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", *(["box", "keys"] if keyed else ["shingles"])])
 
     return run
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose exact shingle sets reach the similarity."""
+    """Those of the distinct pairs (a, b) whose exact shingle sets reach the similarity. ``points``: one row a document."""
 
     def bounded(frames):
         for p in frames:
@@ -124,14 +131,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
             yield p.loc[ok, ["a", "b"]]
 
     def bound(pairs: DataFrame, by: DataFrame) -> DataFrame:
-        by = by.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"])
+        by = by.select("doc_id", "n_shingles", "counts")
         p = pairs.join(by.toDF("a", "na", "ca"), "a").join(by.toDF("b", "nb", "cb"), "b")
         return stored(p.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(bounded, "a long, b long"), "pairs")
 
     left = bound(pairs, points)
     ids = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = stored(texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, n_shingles long, counts binary, shingles binary"), "sets")
+    texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, n_shingles long, digest binary, counts binary, shingles binary")
+    chosen = points.join(sized(ids), "doc_id", "left_semi").select("doc_id", "digest")
+    sets = stored(sets.join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]), "sets")
     left = bound(left, sets)
     sets = sets.select("doc_id", "shingles")
 
@@ -165,7 +174,36 @@ def _rtree_pairs(n: np.ndarray, counts: np.ndarray, num: int, den: int):
             yield order[i[keep] + s], order[j[keep] + t]
 
 
-def _in_leaves(num: int, den: int):
+def _nearest(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, num: int, den: int):
+    """For each point the index of the nearest one before it (in the boxes' order) of another component whose bound
+    reaches the required overlap, or -1: its own box is searched first, then the one before, then the rest."""
+    order = np.lexsort((*counts[:, :4].T, n))
+    n, counts, comp = n[order], counts[order], comp[order]
+    starts = np.arange(0, len(n), LEAF)
+    top, low = np.maximum.reduceat(counts, starts), n[starts]
+    out = np.full(len(n), -1)
+    for x, s in enumerate(starts):
+        e = min(s + LEAF, len(n))
+        for first, last in ((x, x + 1), (x - 1, x), (0, x - 1)):
+            want = np.flatnonzero(out[s:e] < 0) + s
+            if first < 0 or last <= first or not len(want):
+                continue
+            near = np.flatnonzero(np.minimum(top[first:last], top[x]).sum(axis=1) >= required(low[x], low[first:last], num, den)) + first
+            at = np.concatenate([np.arange(starts[y], min(starts[y] + LEAF, len(n))) for y in near]) if len(near) else near
+            if not len(at):
+                continue
+            bound = np.minimum(counts[want, None, :], counts[None, at, :]).sum(axis=2)
+            ok = (bound >= required(n[want, None], n[None, at], num, den)) & (comp[want, None] != comp[None, at]) & (at[None] < want[:, None])
+            best = np.where(ok, bound * len(n) + at[None], -1).argmax(axis=1)
+            hit = ok.any(axis=1)
+            out[want[hit]] = at[best[hit]]
+    found = np.flatnonzero(out >= 0)
+    return order[out[found]], order[found]
+
+
+def _in_leaves(num: int, den: int, every: bool):
+    """Candidates (a, b) of each leaf's tile: all across components, or for each point the nearest before it."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in frames:
@@ -176,28 +214,26 @@ def _in_leaves(num: int, den: int):
                 continue
             open_ = (rest["key"] == last[0]) & (rest["ta"] == last[1]) & (rest["tb"] == last[2])
             held = [rest[open_]]
-            yield from _groups(rest[~open_], num, den)
+            yield from _groups(rest[~open_], num, den, every)
         if held:
-            yield from _groups(pd.concat(held), num, den)
+            yield from _groups(pd.concat(held), num, den, every)
 
     return run
 
 
-def _groups(rows: pd.DataFrame, num: int, den: int):
+def _groups(rows: pd.DataFrame, num: int, den: int, every: bool):
     if not len(rows):
         return
     ids, comp, n = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-    packed = rows["counts"].to_numpy()
+    packed = rows["box"].to_numpy()
     k = rows[["key", "ta", "tb"]].to_numpy()
     cut = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for s, e in zip(cut[:-1], cut[1:]):
         if (comp[s:e] == comp[s]).all():
             continue
-        points = unpacked(packed[s:e])
-        g = min(map(len, points))
-        counts = np.stack([folded(c, g) for c in points])
-        for i, j in _rtree_pairs(n[s:e], counts, num, den):
+        counts = np.stack(unpacked(packed[s:e]))
+        for i, j in _rtree_pairs(n[s:e], counts, num, den) if every else [_nearest(n[s:e], counts, comp[s:e], num, den)]:
             i, j = i + s, j + s
             ok = comp[i] != comp[j]
             found.append((ids[i[ok]], ids[j[ok]]))
@@ -206,6 +242,30 @@ def _groups(rows: pd.DataFrame, num: int, den: int):
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def _searched(rows: DataFrame, points: DataFrame, num: int, den: int, every: bool, seed: int) -> DataFrame:
+    """Candidates (a, b) from rows (key, m, doc_id, component) of open leaves, in tiles of about TILE points.
+
+    For all pairs each tile meets each other; else a point is searched for in its own tile, which a new seed changes.
+    """
+    r = rows.withColumn("nt", F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int"))
+    r = r.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("nt")).cast("int"))
+    r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))) if every else r.withColumn("o", F.col("t"))
+    r = r.select("key", "doc_id", "component", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
+    r = r.join(points.select("doc_id", "n_shingles", "box"), "doc_id")
+    r = r.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb", "doc_id")
+    r = r.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "box").mapInPandas(_in_leaves(num, den, every), "a long, b long")
+    return r
+
+
+def _opened(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """members (key, m, doc_id) with their component, of the leaves that hold several components."""
+    if comp is None:
+        return members.withColumn("component", F.col("doc_id"))
+    rows = stored(members.join(sized(comp).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "open")
+    ends = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    return rows.join(sized(stored(ends, "ends")), "key").select("key", "m", "doc_id", "component")
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -214,74 +274,42 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     when den * |intersection| >= num * |union|. Rows without a doc_id keep a null component and link with nothing;
     repeated rows of one doc_id are one document and get equal rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, counts binary, keys array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, counts binary, box binary, keys array<long>"
     null_ids = docs.where("doc_id is null")
-    points = stored(docs.where("doc_id is not null").mapInPandas(_sketch(size, num, den, True), schema), "points")
-    reps = stored(points.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-
-    own = points.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = stored(own.select("doc_id", F.explode("keys").alias("key")), "keys")
-    keyed, points = points, stored(points.drop("keys"), "points")
-    drop_stored(keyed)
-    # a set has a key once; stored first, so that the counts' shuffle is gone before the join's
-    shared = stored(own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared")
-    members = stored(own.join(shared.hint("shuffle_hash"), "key"), "members")
+    sketches = stored(docs.where("doc_id is not null").mapInPandas(_sketch(size, num, den, True), schema), "points")
+    reps = stored(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+
+    own = sketches.join(reps, (F.col("doc_id") == F.col("rep")) & (sketches.digest == reps.digest), "left_semi")
+    base = stored(own.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "counts", "box", "keys")).alias("p")).select("doc_id", "p.*"), "base")
+    points = stored(sketches.select("doc_id", "n_shingles", "digest"), "points")
+    drop_stored(sketches)
+    own = stored(base.select("doc_id", F.explode("keys").alias("key")), "keys")
+    base = base.drop("keys")
+    # a set has a key once; leaves with the same members are one
+    leaf = own.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s")).where("m > 1")
+    leaf = stored(leaf.groupBy("m", "h", "s").agg(F.min("key").alias("key")).select("key", "m"), "leaves")
+    members = stored(own.join(sized(leaf), "key").select("key", "m", "doc_id"), "members")
     drop_stored(own)
-    drop_stored(shared)
+    drop_stored(leaf)
 
     comp, links, tried = None, None, None
-    for _ in range(ROUNDS):
-        rows = members
-        if comp is not None:
-            rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    for seed in range(ROUNDS + 1):
+        rows = _opened(members, comp)
+        two = _searched(rows, base, num, den, seed == ROUNDS, seed)
+        if seed < ROUNDS:  # the candidate that a point shares most leaves with
+            best = two.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("x"))
+            two = best.select("x.a", "b")
         else:
-            rows = members.withColumn("component", F.col("doc_id"))
-        at = F.struct("component", "doc_id")
-        ends = rows.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-        ends = ends.where("first.component < last.component")
-        other = F.when(F.col("component") != F.col("first.component"), F.col("first.doc_id")).otherwise(F.col("last.doc_id"))
-        rows = rows.join(ends.hint("shuffle_hash"), "key").select("key", "doc_id", other.alias("other"))
-        rows = stored(rows, "open")  # leaves of one component are done
-        drop_stored(members)
-        star = rows.select(F.least("other", "doc_id").alias("a"), F.greatest("other", "doc_id").alias("b"))
-        star = star.groupBy("a", "b").agg(F.count("*").alias("n"))
+            two = two.distinct()
         if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        best = star.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x"))
-        one = stored(best.select((-F.col("x.a")).alias("a"), "b"), "pairs")
-        members, found = rows.select("key", "doc_id"), _verify(one, docs, points, size, num, den)
-        tried = one if tried is None else tried.unionByName(one)
+            two = two.join(tried, ["a", "b"], "left_anti")
+        two = stored(two, "pairs")
+        found = _verify(two, docs, base, size, num, den)
+        tried = two if tried is None else tried.unionByName(two)
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            break
-        comp = stored(components(links), "components")
-    if comp is None:
-        comp = stored(components(links), "components")
-    rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    ends = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    rows = stored(rows.join(ends.hint("shuffle_hash"), "key").select("key", "doc_id", "component"), "open")
-    drop_stored(members)
-
-    # leaves with the same members are one
-    leaf = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"))
-    leaf = stored(leaf.groupBy("m", "h", "s").agg(F.min("key").alias("key")).select("key", "m"), "leaves")
-    rest = rows.select("key", "doc_id", "component").join(leaf.hint("shuffle_hash"), "key")
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
-    rest = rest.withColumn("nt", tiles)
-    rest = rest.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int"))
-    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
-    rest = rest.select("key", "doc_id", "component", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
-    rest = rest.join(points.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
-    rest = rest.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
-    two = rest.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "counts").mapInPandas(_in_leaves(num, den), "a long, b long")
-    two = two.distinct().join(tried, ["a", "b"], "left_anti")
-    two = stored(two, "pairs")
-    drop_stored(rows)
-    more = _verify(two, docs, points, size, num, den)
-    if not more.isEmpty():
-        comp = stored(components(links.unionByName(more)), "components")
+        if seed == 0 or not found.isEmpty():
+            comp = stored(components(links), "components")
 
     out = points.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").select("doc_id", "n_shingles", "rep")
     out = out.join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left")
