@@ -6,11 +6,14 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides of at most this many counted bytes may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Edges that one task makes stars of at most.
+BLOCK = 1_000_000
 #: Spark's setting for removing the shuffle files of an execution at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -125,36 +128,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the edges (a, b) connect it with."""
+    root = np.arange(n)
+    while True:
+        was = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+        if (root == was).all():
+            return root
+
+
+def _contracted(frames):
+    """The edges of a block as stars (u, v): each node with the smallest node that the block connects it with."""
+    parts = list(frames)
+    u, v = (np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in ("u", "v"))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = nodes[roots(at[: len(u)], at[len(u) :], len(nodes))]
+    yield pd.DataFrame({"u": nodes, "v": root})[nodes != root]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected ``edges`` (a, b: long), by alternating large and small stars.
+    """Connected components of the undirected ``edges`` (a, b: long).
 
     Returns (node, component): one row for each node that has an edge to another node, component being its
-    smallest node. Every round is written to the shared folder; nothing is collected but two numbers. The least
-    neighbours are stored before edges are joined to them, so that no join hangs on its own edges' grouping and Spark
-    can split the partition of a node with very many edges (or broadcast the nodes, if they are few).
+    smallest node. Blocks of BLOCK edges at most are made stars in one task each; one block is done with that, several
+    go on in alternating large and small stars. Every round is written to the shared folder; nothing is collected but
+    two numbers. The least neighbours are stored before edges are joined to them, so that no join hangs on its own
+    edges' grouping and Spark can split the partition of a node with very many edges.
     """
-    e = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = stored(e.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"), "edges")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def swapped(df: DataFrame, old: DataFrame) -> DataFrame:
+        df = stored(df, "edges")
+        drop_stored(old)
+        return df
+
     was = mark(e)
-    while was[0]:
+    blocks = -(-was[0] // BLOCK)
+    if blocks:
+        e = swapped((e.coalesce(1) if blocks == 1 else e.repartition(blocks)).mapInPandas(_contracted, "u long, v long"), e)
+    while blocks > 1:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = sym.join(sized(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"), "large")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(sized(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        nxt = stored(small.select("x.*").where("u <> v").distinct(), "edges")
-        now = mark(nxt)
-        for old in (e, low, large, least):
+        e = swapped(small.select("x.*").where("u <> v").distinct(), e)
+        now = mark(e)
+        for old in (low, large, least):
             drop_stored(old)
-        e = nxt
         if now == was:
             break
         was = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    own = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)

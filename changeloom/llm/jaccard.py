@@ -30,7 +30,7 @@ from .textops import pieces, shingle_sets
 
 #: Groups of the indexed point, and of its fold that boxes are made of.
 GROUPS, COARSE = 1 << 20, 256
-BAND, TILE, LEAF = 1.5, 512, 16
+BAND, TILE, LEAF = 1.5, 256, 16
 #: Shingles for each group of the folds that candidates are bounded by, the latter before their sets meet.
 POINT, FINE = 2, 0.75
 #: Times that the search gives each point one other before open leaves are searched for all pairs.
@@ -118,8 +118,16 @@ def _sketch(size: int, num: int, den: int, keyed: bool):
     return run
 
 
+def _both(pairs: DataFrame, by: DataFrame, *columns: str) -> DataFrame:
+    """The distinct ``pairs`` (a, b) with structs x and y of both documents' ``columns``; repeated rows of ``by`` are one."""
+    p, x = sized(pairs), F.struct(*columns)
+    left = by.join(p, by.doc_id == p.a).select("a", "b", x.alias("x"), F.lit(None).alias("y"))
+    right = by.join(p, by.doc_id == p.b).select("a", "b", F.lit(None).alias("x"), x.alias("y"))
+    return left.unionByName(right).groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose exact shingle sets reach the similarity. ``points``: one row a document."""
+    """Those of the distinct stored pairs (a, b) whose exact shingle sets reach the similarity. ``points``: a row a document."""
 
     def bounded(frames):
         for p in frames:
@@ -131,18 +139,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
             yield p.loc[ok, ["a", "b"]]
 
     def bound(pairs: DataFrame, by: DataFrame) -> DataFrame:
-        by = by.select("doc_id", "n_shingles", "counts")
-        p = pairs.join(by.toDF("a", "na", "ca"), "a").join(by.toDF("b", "nb", "cb"), "b")
-        return stored(p.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(bounded, "a long, b long"), "pairs")
+        p = _both(pairs, by, "n_shingles", "counts").selectExpr("a", "b", "x.n_shingles na", "y.n_shingles nb", "x.counts ca", "y.counts cb")
+        return stored(p.mapInPandas(bounded, "a long, b long"), "pairs")
 
     left = bound(pairs, points)
     ids = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
+    ids = stored(points.join(sized(ids), "doc_id").select("doc_id", "digest"), "ids")
+    texts = docs.join(sized(ids.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     sets = texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, n_shingles long, digest binary, counts binary, shingles binary")
-    chosen = points.join(sized(ids), "doc_id", "left_semi").select("doc_id", "digest")
-    sets = stored(sets.join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(sets.join(sized(ids), ["doc_id", "digest"], "left_semi"), "sets")
     left = bound(left, sets)
-    sets = sets.select("doc_id", "shingles")
 
     def exact(frames):
         for q in frames:
@@ -153,7 +159,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield q.loc[keep, ["a", "b"]] if len(q) else q[["a", "b"]]
 
-    q = left.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+    q = _both(left, sets, "shingles").selectExpr("a", "b", "x.shingles sa", "y.shingles sb")
     return stored(q.mapInPandas(exact, "a long, b long"), "links")
 
 
@@ -171,7 +177,7 @@ def _rtree_pairs(n: np.ndarray, counts: np.ndarray, num: int, den: int):
             bound = np.minimum(counts[s:e, None, :], counts[None, t:f, :]).sum(axis=2)
             i, j = np.nonzero(bound >= required(n[s:e, None], n[None, t:f], num, den))
             keep = (i + s) < (j + t)
-            yield order[i[keep] + s], order[j[keep] + t]
+            yield order[i[keep] + s], order[j[keep] + t], bound[i[keep], j[keep]]
 
 
 def _nearest(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, num: int, den: int):
@@ -198,11 +204,11 @@ def _nearest(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, num: int, den:
             hit = ok.any(axis=1)
             out[want[hit]] = at[best[hit]]
     found = np.flatnonzero(out >= 0)
-    return order[out[found]], order[found]
+    return order[out[found]], order[found], np.minimum(counts[out[found]], counts[found]).sum(axis=1)
 
 
 def _in_leaves(num: int, den: int, every: bool):
-    """Candidates (a, b) of each leaf's tile: all across components, or for each point the nearest before it."""
+    """Candidates (a, b, bound) of each leaf's tile: all across components, or for each point the nearest before it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -233,17 +239,17 @@ def _groups(rows: pd.DataFrame, num: int, den: int, every: bool):
         if (comp[s:e] == comp[s]).all():
             continue
         counts = np.stack(unpacked(packed[s:e]))
-        for i, j in _rtree_pairs(n[s:e], counts, num, den) if every else [_nearest(n[s:e], counts, comp[s:e], num, den)]:
+        for i, j, bound in _rtree_pairs(n[s:e], counts, num, den) if every else [_nearest(n[s:e], counts, comp[s:e], num, den)]:
             i, j = i + s, j + s
             ok = comp[i] != comp[j]
-            found.append((ids[i[ok]], ids[j[ok]]))
+            found.append((ids[i[ok]], ids[j[ok]], bound[ok] / (n[i] + n[j])[ok]))
     if found:
-        a, b = (np.concatenate([f[x] for f in found]) for x in (0, 1))
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        a, b, bound = (np.concatenate([f[x] for f in found]) for x in (0, 1, 2))
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bound": bound}).drop_duplicates()
 
 
-def _searched(rows: DataFrame, points: DataFrame, num: int, den: int, every: bool, seed: int) -> DataFrame:
-    """Candidates (a, b) from rows (key, m, doc_id, component) of open leaves, in tiles of about TILE points.
+def _searched(rows: DataFrame, boxes: DataFrame, num: int, den: int, every: bool, seed: int) -> DataFrame:
+    """Candidates (a, b, bound) from rows (key, m, doc_id, component) of open leaves, in tiles of about TILE points.
 
     For all pairs each tile meets each other; else a point is searched for in its own tile, which a new seed changes.
     """
@@ -251,10 +257,10 @@ def _searched(rows: DataFrame, points: DataFrame, num: int, den: int, every: boo
     r = r.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("nt")).cast("int"))
     r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))) if every else r.withColumn("o", F.col("t"))
     r = r.select("key", "doc_id", "component", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
-    r = r.join(points.select("doc_id", "n_shingles", "box"), "doc_id")
+    r = r.join(sized(boxes), "doc_id")
     r = r.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb", "doc_id")
-    r = r.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "box").mapInPandas(_in_leaves(num, den, every), "a long, b long")
-    return r
+    r = r.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "box")
+    return r.mapInPandas(_in_leaves(num, den, every), "a long, b long, bound double")
 
 
 def _opened(members: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -293,26 +299,30 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     drop_stored(own)
     drop_stored(leaf)
 
+    boxes = stored(base.join(sized(stored(members.select("doc_id").distinct(), "ids")), "doc_id", "left_semi").select("doc_id", "n_shingles", "box"), "boxes")
+
     comp, links, tried = None, None, None
     for seed in range(ROUNDS + 1):
         rows = _opened(members, comp)
-        two = _searched(rows, base, num, den, seed == ROUNDS, seed)
-        if seed < ROUNDS:  # the candidate that a point shares most leaves with
-            best = two.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("x"))
-            two = best.select("x.a", "b")
-        else:
-            two = two.distinct()
+        two = _searched(rows, boxes, num, den, seed == ROUNDS, seed)
+        # of a point's candidates the one with the greatest bound for the sizes; in the end, all
+        two = two.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("x")).select("x.a", "b") if seed < ROUNDS else two.select("a", "b").distinct()
         if tried is not None:
-            two = two.join(tried, ["a", "b"], "left_anti")
+            two = two.join(sized(tried), ["a", "b"], "left_anti")
         two = stored(two, "pairs")
+        if two.isEmpty():
+            continue
         found = _verify(two, docs, base, size, num, den)
         tried = two if tried is None else tried.unionByName(two)
         links = found if links is None else links.unionByName(found)
-        if seed == 0 or not found.isEmpty():
+        if not found.isEmpty():
             comp = stored(components(links), "components")
 
-    out = points.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").select("doc_id", "n_shingles", "rep")
-    out = out.join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left")
+    out = points.select("doc_id", "n_shingles", "digest").join(sized(reps), "digest", "left").select("doc_id", "n_shingles", "rep")
+    if comp is not None:
+        out = out.join(sized(comp).withColumnRenamed("node", "rep"), "rep", "left")
+    else:
+        out = out.withColumn("component", F.lit(None).cast("long"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     if null_ids.isEmpty():
         return out

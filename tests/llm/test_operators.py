@@ -30,7 +30,9 @@ def edge(spark):
     return d.unionByName(d.where("doc_id = 7")).unionByName(spark.createDataFrame([(None, "a b c d e f g h", None, None, None, None, None, None, None)], DOC))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1000, 7])
+def test_components(spark, block, monkeypatch):
+    monkeypatch.setattr(common, "BLOCK", block)
     rng = np.random.default_rng(1)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(i, i + 1) for i in range(100, 160)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
