@@ -142,13 +142,17 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def _contracted(frames):
-    """The edges of a block as stars (u, v): each node with the smallest node that the block connects it with."""
-    parts = list(frames)
-    u, v = (np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in ("u", "v"))
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    root = nodes[roots(at[: len(u)], at[len(u) :], len(nodes))]
-    yield pd.DataFrame({"u": nodes, "v": root})[nodes != root]
+def _stars(u: str, v: str, whole: bool):
+    """A block's edges (u, v) as stars: each node with the smallest node that the block connects it with; ``whole``: that too."""
+
+    def run(frames):
+        parts = list(frames)
+        a, b = (np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in (u, v))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = nodes[roots(at[: len(a)], at[len(a) :], len(nodes))]
+        yield pd.DataFrame({"u": nodes, "v": root})[(nodes != root) | whole]
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,8 +164,10 @@ def components(edges: DataFrame) -> DataFrame:
     two numbers. The least neighbours are stored before edges are joined to them, so that no join hangs on its own
     edges' grouping and Spark can split the partition of a node with very many edges.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = stored(e.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"), "edges")
+    e = stored(edges.where("a <> b").select("a", "b"), "edges")
+    blocks = -(-e.count() // BLOCK)
+    if blocks < 2:
+        return e.coalesce(1).mapInPandas(_stars("a", "b", True), "u long, v long").toDF("node", "component")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -171,11 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
         drop_stored(old)
         return df
 
+    e = swapped(e.repartition(blocks).mapInPandas(_stars("a", "b", False), "u long, v long").distinct(), e)
     was = mark(e)
-    blocks = -(-was[0] // BLOCK)
-    if blocks:
-        e = swapped((e.coalesce(1) if blocks == 1 else e.repartition(blocks)).mapInPandas(_contracted, "u long, v long"), e)
-    while blocks > 1:
+    while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = sym.join(sized(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

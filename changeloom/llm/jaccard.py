@@ -31,8 +31,8 @@ from .textops import pieces, shingle_sets
 #: Groups of the indexed point, and of its fold that boxes are made of.
 GROUPS, COARSE = 1 << 20, 256
 BAND, TILE, LEAF = 1.5, 256, 16
-#: Shingles for each group of the folds that candidates are bounded by, the latter before their sets meet.
-POINT, FINE = 2, 0.75
+#: Shingles for each group of the fold that all pairs of open leaves are bounded by before their sets meet.
+POINT = 2
 #: Times that the search gives each point one other before open leaves are searched for all pairs.
 ROUNDS = 2
 
@@ -112,8 +112,8 @@ def _sketch(size: int, num: int, den: int, keyed: bool):
                     if keyed:
                         rows.append((i, len(s), d, group_counts(s, POINT), group_counts(s, None), block_keys(s, num, den) if len(s) else np.zeros(0, np.int64)))
                     else:
-                        rows.append((i, len(s), d, group_counts(s, FINE), s.tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", *(["box", "keys"] if keyed else ["shingles"])])
+                        rows.append((i, d, s.tobytes()))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", "box", "keys"] if keyed else ["doc_id", "digest", "shingles"])
 
     return run
 
@@ -126,10 +126,10 @@ def _both(pairs: DataFrame, by: DataFrame, *columns: str) -> DataFrame:
     return left.unionByName(right).groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct stored pairs (a, b) whose exact shingle sets reach the similarity. ``points``: a row a document."""
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the distinct stored pairs (a, b) whose finer points (one row a document) still reach the required overlap."""
 
-    def bounded(frames):
+    def run(frames):
         for p in frames:
             need = required(p["na"].to_numpy(), p["nb"].to_numpy(), num, den)
             ok = np.zeros(len(p), bool)
@@ -138,17 +138,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
                 ok[i] = np.minimum(folded(x, g), folded(y, g)).sum() >= need[i]
             yield p.loc[ok, ["a", "b"]]
 
-    def bound(pairs: DataFrame, by: DataFrame) -> DataFrame:
-        p = _both(pairs, by, "n_shingles", "counts").selectExpr("a", "b", "x.n_shingles na", "y.n_shingles nb", "x.counts ca", "y.counts cb")
-        return stored(p.mapInPandas(bounded, "a long, b long"), "pairs")
+    p = _both(pairs, points, "n_shingles", "counts").selectExpr("a", "b", "x.n_shingles na", "y.n_shingles nb", "x.counts ca", "y.counts cb")
+    return stored(p.mapInPandas(run, "a long, b long"), "pairs")
+
 
-    left = bound(pairs, points)
-    ids = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    ids = stored(points.join(sized(ids), "doc_id").select("doc_id", "digest"), "ids")
+def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of the distinct stored pairs (a, b) whose exact shingle sets reach the similarity. ``points``: a row a document."""
+    ids = points.join(sized(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "doc_id", "left_semi")
+    ids = stored(ids.select("doc_id", "digest"), "ids")
     texts = docs.join(sized(ids.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, n_shingles long, digest binary, counts binary, shingles binary")
+    sets = texts.mapInPandas(_sketch(size, num, den, False), "doc_id long, digest binary, shingles binary")
     sets = stored(sets.join(sized(ids), ["doc_id", "digest"], "left_semi"), "sets")
-    left = bound(left, sets)
 
     def exact(frames):
         for q in frames:
@@ -159,8 +159,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, num
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield q.loc[keep, ["a", "b"]] if len(q) else q[["a", "b"]]
 
-    q = _both(left, sets, "shingles").selectExpr("a", "b", "x.shingles sa", "y.shingles sb")
-    return stored(q.mapInPandas(exact, "a long, b long"), "links")
+    q = _both(pairs, sets, "shingles").selectExpr("a", "b", "x.shingles sa", "y.shingles sb")
+    out = stored(q.mapInPandas(exact, "a long, b long"), "links")
+    drop_stored(sets)
+    return out
 
 
 def _rtree_pairs(n: np.ndarray, counts: np.ndarray, num: int, den: int):
@@ -283,12 +285,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, digest binary, counts binary, box binary, keys array<long>"
     null_ids = docs.where("doc_id is null")
-    sketches = stored(docs.where("doc_id is not null").mapInPandas(_sketch(size, num, den, True), schema), "points")
-    reps = stored(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    sketches = stored(docs.where("doc_id is not null").mapInPandas(_sketch(size, num, den, True), schema).withColumn("row", F.monotonically_increasing_id()), "points")
+    reps = stored(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.row"), "reps")
 
-    own = sketches.join(reps, (F.col("doc_id") == F.col("rep")) & (sketches.digest == reps.digest), "left_semi")
-    base = stored(own.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "counts", "box", "keys")).alias("p")).select("doc_id", "p.*"), "base")
+    # one row of each distinct set; of a doc_id that leads several (rows with other texts), the least
+    chosen = stored(reps.groupBy("rep").agg(F.min(F.struct("digest", "row")).alias("r")).select("r.row"), "chosen")
+    base = stored(sketches.join(sized(chosen), "row", "left_semi").drop("row"), "base")
     points = stored(sketches.select("doc_id", "n_shingles", "digest"), "points")
+    reps = reps.select("digest", "rep")
     drop_stored(sketches)
     own = stored(base.select("doc_id", F.explode("keys").alias("key")), "keys")
     base = base.drop("keys")
@@ -312,7 +316,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         two = stored(two, "pairs")
         if two.isEmpty():
             continue
-        found = _verify(two, docs, base, size, num, den)
+        found = _verify(two if seed < ROUNDS else _bounded(two, base, num, den), docs, base, size, num, den)
         tried = two if tried is None else tried.unionByName(two)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
