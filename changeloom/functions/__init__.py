@@ -1 +1 @@
-"""Functions of the change-data engine."""
+"""Scalar functions of the change-data engine."""

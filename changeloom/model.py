@@ -90,3 +90,38 @@ def primary_key(schema: T.StructType) -> list[str]:
     if not pk:
         raise ChangeError("the table has no primary key")
     return pk
+
+
+class SchemaStore:
+    """Schemas of tables by 'db.table': given ones (names may be patterns), else what ``find`` says, kept until evicted."""
+
+    def __init__(self, given: dict | None = None, find=None):
+        self.given = {k: v if isinstance(v, T.StructType) else table_schema(v) for k, v in (given or {}).items()}
+        self.find, self.kept = find, {}
+
+    def get(self, database: str, table: str) -> T.StructType:
+        name = f"{database}.{table}"
+        if name not in self.kept:
+            own = self.given.get(name) or next((s for k, s in self.given.items() if re.fullmatch(k, name)), None)
+            own = own if own is not None else self.find(database, table) if self.find else None
+            if own is None:
+                raise ChangeError(f"no schema for {name}")
+            self.kept[name] = own
+        return self.kept[name]
+
+    def put(self, database: str, table: str, schema: T.StructType) -> None:
+        self.kept[f"{database}.{table}"] = schema
+
+    def evict(self, database: str, table: str | None = None) -> None:
+        """Forgets a table's schema, or a database's, after a statement that may have changed it."""
+        gone = [n for n in self.kept if (n == f"{database}.{table}" if table else n.startswith(f"{database}."))]
+        for n in gone:
+            del self.kept[n]
+
+    def names_column(self, full_name: Column) -> Column:
+        """Each event's column names; null where no schema is known."""
+        out = F.lit(None).cast("array<string>")
+        for k, s in reversed([*self.given.items(), *self.kept.items()]):
+            hit = full_name.rlike(f"^(?:{k})$") if k in self.given and k not in self.kept else full_name == k
+            out = F.when(hit, F.array(*map(F.lit, s.names))).otherwise(out)
+        return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import DELETE, INSERT, UPDATE
 from .merge import NOOP, net_changes
@@ -37,6 +38,35 @@ def apply_net(target: DataFrame, net: DataFrame, keys: list[str], on_conflict: s
     return j.where(keep).select(*keys, *(F.when(take, new(c)).otherwise(F.col(c)).alias(c) for c in values)).select(*target.columns)
 
 
+def apply_images(target: DataFrame, net: DataFrame, keys: list[str], on_conflict: str = "log_wins") -> DataFrame:
+    """As :func:`apply_net` for net changes whose columns are in ``new_row``, a struct or a map of texts.
+
+    Only columns that the image names are written: an update keeps the others, an insert of a new row leaves them null.
+    Keys are of the target's types.
+    """
+    kinds, image = dict(target.dtypes), net.schema["new_row"].dataType
+    values = [c for c in target.columns if c not in keys]
+
+    def named(c: str) -> Column | None:
+        if isinstance(image, T.MapType):
+            return F.map_contains_key("new_row", F.lit(c))
+        return F.lit(True) if c in image.names else None
+
+    new = {c: (F.col("new_row")[c].cast(kinds[c]), has) for c in values if (has := named(c)) is not None}
+    n = net.select(*(F.col(k).cast(kinds[k]).alias(k) for k in keys), F.col("op").alias("_op"), *(x for c, (v, has) in new.items() for x in (v.alias(f"_n_{c}"), has.alias(f"_h_{c}"))))
+    j = target.withColumn("_there", F.lit(True)).join(n, keys, "full_outer")
+    there, op = F.coalesce("_there", F.lit(False)), F.coalesce("_op", F.lit("none"))
+    if on_conflict == "log_wins":
+        keep, take = ~op.isin(DELETE, NOOP), op.isin(INSERT, UPDATE)
+    elif on_conflict == "ignore":
+        keep = F.when(op == DELETE, F.lit(False)).when(op == INSERT, F.lit(True)).otherwise(there)
+        take = (op == UPDATE) | ((op == INSERT) & ~there)
+    else:
+        raise ValueError(f"on_conflict: {on_conflict}")
+    cols = [F.when(take & F.col(f"_h_{c}"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in values]
+    return j.where(keep).select(*keys, *cols).select(*target.columns)
+
+
 def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], seq: str = "seq", on_conflict: str = "log_wins", on_invalid: str = "error") -> DataFrame:
     """The target after an ordered change log with columns keys, seq, op and the target's other columns."""
     values = [c for c in target.columns if c not in keys]

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import older_than
+
 MISS, DIFF = "row_miss", "row_diff"
-_PER_SECOND = {"sec": 1, "milli": 1_000, "nano": 1_000_000_000}
 
 
 def check_rows(source: DataFrame, target: DataFrame, keys: list[str], compare_binary: bool = False) -> DataFrame:
@@ -29,16 +30,6 @@ def check_rows(source: DataFrame, target: DataFrame, keys: list[str], compare_bi
     return j.select(*keys, err.alias("err"), F.struct(*keys, *columns).alias("expected"), real.alias("real")).where("err is not null")
 
 
-def older_than(column: Column, now: Column | str, skip_seconds: int, kind: str = "time") -> Column:
-    """column < now - skip: kind is time (a timestamp), sec, milli or nano (numbers since the epoch)."""
-    at = (F.lit(now).cast("timestamp") if isinstance(now, str) else now) - F.expr(f"interval {int(skip_seconds)} seconds")
-    if kind == "time":
-        return column < at
-    if kind == "nano":
-        return column < F.unix_micros(at) * 1000
-    return column < (F.unix_seconds(at) if kind == "sec" else F.unix_millis(at)) * 1
-
-
 def recheck(found: DataFrame, source: DataFrame, keys: list[str], update_time: str | None = None, now: Column | str | None = None, skip_seconds: int = 0, kind: str = "time") -> DataFrame:
     """Found rows that still stand: the source row is still there and, for a difference, was not changed of late."""
     if update_time is None:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import first_replaced
 from ..model import DELETE, INSERT, OPS, UPDATE, ChangeError
 
 
@@ -52,11 +53,6 @@ def parse_mappings(config: list[dict]) -> tuple[DatabaseMapping, ...]:
     return tuple(out)
 
 
-def _first_replaced(name: Column, logical: str, target: str) -> Column:
-    at = F.instr(name, F.lit(logical))
-    return F.when(at > 0, F.overlay(name, F.lit(target), at, F.lit(len(logical)))).otherwise(name)
-
-
 def convert_action(df: DataFrame, actions: Column) -> DataFrame:
     """Applies the operation that ``actions`` (a column, null for none) gives, moving images as the new one needs."""
     null = F.lit(None)
@@ -95,10 +91,10 @@ def map_changes(df: DataFrame, mappings: tuple[DatabaseMapping, ...], db_var: st
     db, table, action, renames = F.col("database"), F.col("table"), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
     for m in mappings:
         in_db = db_key == m.source
-        db = F.when(in_db, _first_replaced(F.col("database"), m.source, m.target) if db_var else F.lit(m.target)).otherwise(db)
+        db = F.when(in_db, first_replaced(F.col("database"), m.source, m.target) if db_var else F.lit(m.target)).otherwise(db)
         for t in m.tables:
             here = in_db & (table_key == t.source)
-            table = F.when(here, _first_replaced(F.col("table"), t.source, t.target) if table_var else F.lit(t.target)).otherwise(table)
+            table = F.when(here, first_replaced(F.col("table"), t.source, t.target) if table_var else F.lit(t.target)).otherwise(table)
             for a, b in t.actions.items():
                 action = F.when(here & (F.col("op") == a), F.lit(b)).otherwise(action)
             if t.columns:

@@ -44,30 +44,41 @@ def net_changes(df: DataFrame, keys: list[str], seq: str = "seq", images: list[s
     return g.withColumn("op", op).select(*keys, "op", *(F.when(live, F.col(f"_image.{c}")).alias(c) for c in images), "originals")
 
 
-def net_changes_partial(df: DataFrame, keys: list[str], seq: str = "seq", image: str = "new_row") -> DataFrame:
+def net_changes_partial(df: DataFrame, keys: list[str], seq: str = "seq", image: str = "new_row", old: str = "old_row") -> DataFrame:
     """As :func:`net_changes` for map images that hold only some columns: later values overlay earlier ones.
 
-    The fold starts anew after a delete. A column that no image since then names is absent from the result.
+    The fold starts anew after a delete. A row that was there before the log and comes back after its deletion has null
+    in each column of the deleted row's ``old`` image (if there is one) that no image since then names; any other column
+    that no image names is absent. Each column's latest value is an aggregate of its own, with map-side parts: no key's
+    history is gathered.
     """
-    w = W.partitionBy(*keys).orderBy(seq)
-    d = df.withColumn("_start", F.max(F.when(F.col("op").isin(INSERT, DELETE), F.col(seq))).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    g = d.groupBy(*keys).agg(
-        F.min_by("op", seq).alias("_first"), F.max_by("op", seq).alias("_last"), F.count("*").alias("originals"),
-        F.collect_list(F.when((F.col(seq) >= F.coalesce("_start", seq)) & F.col(image).isNotNull(), F.struct(F.col(seq).alias("s"), F.map_entries(image).alias("e")))).alias("_all"),
-    )
-    ordered = F.array_sort("_all", lambda a, b: F.when(a.s < b.s, -1).when(a.s > b.s, 1).otherwise(0))
-    entries = F.flatten(F.transform(ordered, lambda x: x.e))
-    last = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != e.key), F.create_map(e.key, e.value)))
+    w = W.partitionBy(*keys)
+    start = F.max(F.when(F.col("op").isin(INSERT, DELETE), F.col(seq))).over(w)
+    d = df.withColumns({"_start": start, "_gone": F.max(F.when(F.col("op") == DELETE, F.col(seq))).over(w), "_open": F.min_by("op", seq).over(w)})
+    g = d.groupBy(*keys).agg(F.min_by("op", seq).alias("_first"), F.max_by("op", seq).alias("_last"), F.count("*").alias("originals"))
+    named = F.when((F.col("op") != DELETE) & (F.col(seq) >= F.coalesce("_start", seq)), F.map_entries(image))
+    if old in df.columns:
+        lost = (F.col(seq) == F.col("_gone")) & (F.col("_open") != INSERT)
+        null = F.transform(F.map_keys(old), lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("value")))
+        named = F.when(lost, null).otherwise(named)
+    each = d.select(*keys, F.col(seq).alias("_at"), F.explode(named).alias("_e")).select(*keys, "_at", "_e.key", "_e.value")
+    # the struct keeps a null that is the latest value
+    each = each.groupBy(*keys, "key").agg(F.max_by(F.struct("value"), "_at").alias("v"))
+    row = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "v.value"))).alias(image))
     op = F.when(F.col("_last") == DELETE, F.when(F.col("_first") == INSERT, NOOP).otherwise(DELETE)).when(F.col("_first") == INSERT, INSERT).otherwise(UPDATE)
-    return g.withColumn("op", op).select(*keys, "op", F.when(F.col("op").isin(INSERT, UPDATE), last).alias(image), "originals")
+    g = g.withColumn("op", op).join(row, keys, "left")
+    empty = F.coalesce(image, F.create_map().cast("map<string,string>"))
+    return g.select(*keys, "op", F.when(F.col("op").isin(INSERT, UPDATE), empty).alias(image), "originals")
 
 
 def split_key_changes(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Updates of typed changes (structs old_row, new_row) that move a row to another key become a delete and an insert.
+    """Updates (old_row and new_row are structs or maps) that move a row to another key become a delete and an insert.
 
-    Other rows pass. ``seq`` is doubled so that the insert follows its delete.
+    Other rows pass, also updates whose old image does not name the key. ``seq`` is doubled so that the insert follows
+    its delete.
     """
-    moved = (F.col("op") == UPDATE) & ~reduce(lambda a, b: a & b, (F.col(f"old_row.{k}").eqNullSafe(F.col(f"new_row.{k}")) for k in keys))
+    other = reduce(lambda a, b: a | b, (F.col("old_row")[k].isNotNull() & (F.col("old_row")[k] != F.col("new_row")[k]) for k in keys))
+    moved = (F.col("op") == UPDATE) & F.coalesce(other, F.lit(False))
     null_new, null_old = (F.lit(None).cast(df.schema[c].dataType) for c in ("new_row", "old_row"))
     one = lambda op, old, new, n: F.struct(op.alias("op"), old.alias("old_row"), new.alias("new_row"), (F.col(seq) * 2 + n).alias(seq))
     two = F.array(one(F.lit(DELETE), F.col("old_row"), null_new, 0), one(F.lit(INSERT), null_old, F.col("new_row"), 1))

@@ -20,9 +20,35 @@ def transaction_offset(transaction: list[str], seq: str = "seq") -> Column:
     return (F.row_number().over(W.partitionBy(*transaction).orderBy(seq)) - 1).cast("long")
 
 
-def last_committed(position: str, committed: str, source: list[str], seq: str = "seq") -> Column:
-    """The position of the last commit up to each event of a log; a log is in order per ``source`` (server and file)."""
-    return F.last(F.when(F.col(committed), F.col(position)), True).over(W.partitionBy(*source).orderBy(seq))
+#: Consecutive sequence numbers, or transaction numbers, that one task puts in order.
+SPAN = 1_000_000
+
+
+def carried(df: DataFrame, source: list[str], seq: str, values: dict[str, Column], before: bool = False, span: int = SPAN) -> DataFrame:
+    """Adds the last value that is not null up to each row (``before``: up to the one before) in the order of its source.
+
+    Rows are put in order within ranges of ``span`` sequence numbers, and each range starts with what the ranges before it
+    end with: no task sorts a whole log, whose ranges are few.
+    """
+    d = df.withColumns({"_range": F.floor(F.col(seq) / span).cast("long")} | {f"_v_{n}": c for n, c in values.items()})
+    key = [*source, "_range"]
+    ends = d.groupBy(*key).agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(seq))).alias(f"_e_{n}") for n in values))
+    w = W.partitionBy(*source).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*key, *(F.last(f"_e_{n}", True).over(w).alias(f"_b_{n}") for n in values))
+    own = W.partitionBy(*key).orderBy(seq).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    d = d.withColumns({n: F.last(f"_v_{n}", True).over(own) for n in values})
+    right = ends.select(*(F.col(k).alias(f"_k_{k}") for k in key), *(f"_b_{n}" for n in values))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    d = d.join(right, on, "left")
+    return d.withColumns({n: F.coalesce(n, f"_b_{n}") for n in values}).drop("_range", *(f"_v_{n}" for n in values), *(f"_b_{n}" for n in values), *(f"_k_{k}" for k in key))
+
+
+def last_committed(df: DataFrame, position: str, committed: str, source: list[str], seq: str = "seq", out: str = "committed_pos") -> DataFrame:
+    """Adds the position of the last commit up to each event of a log; a log is in order per ``source`` (server and file)."""
+    return carried(df, source, seq, {out: F.when(F.col(committed), F.col(position))})
 
 
 def explode_row_pairs(df: DataFrame, rows: str = "rows") -> DataFrame:
@@ -33,11 +59,15 @@ def explode_row_pairs(df: DataFrame, rows: str = "rows") -> DataFrame:
     return df.where(n > 0).select(*rest, F.explode(pairs).alias("_p")).select(*rest, "_p.*")
 
 
-def intervals(df: DataFrame, uuid: str = "uuid", txid: str = "txid") -> DataFrame:
-    """Runs of consecutive transaction numbers: uuid, lo, hi, n."""
-    d = df.select(uuid, txid).distinct()
-    d = d.withColumn("_g", F.col(txid) - F.row_number().over(W.partitionBy(uuid).orderBy(txid)))
-    return d.groupBy(uuid, "_g").agg(F.min(txid).alias("lo"), F.max(txid).alias("hi"), F.count("*").alias("n")).drop("_g")
+def intervals(df: DataFrame, uuid: str = "uuid", txid: str = "txid", span: int = SPAN) -> DataFrame:
+    """Runs of consecutive transaction numbers: uuid, lo, hi, n.
+
+    Runs are found within ranges of ``span`` numbers; then only runs, not transactions, are put in order per server.
+    """
+    d = df.select(uuid, txid).distinct().withColumn("_range", F.floor(F.col(txid) / span).cast("long"))
+    d = d.withColumn("_g", F.col(txid) - F.row_number().over(W.partitionBy(uuid, "_range").orderBy(txid)))
+    runs = d.groupBy(uuid, "_range", "_g").agg(F.min(txid).alias("lo"), F.max(txid).alias("hi"))
+    return merge_intervals(runs.select(uuid, "lo", "hi"), uuid).withColumn("n", F.col("hi") - F.col("lo") + 1)
 
 
 def merge_intervals(df: DataFrame, uuid: str = "uuid") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import capture
 from ..model import OPS, ChangeError, effective_row
 
 
@@ -46,30 +47,24 @@ def split_name(name: str = "full_table_name") -> tuple[Column, Column]:
 
 
 def rows_to_changes(df: DataFrame, columns: list[str] | Column) -> DataFrame:
-    """Positional images as name-to-value maps. Empty or null images stay null; a wrong number of values fails."""
+    """Positional images as name-to-value maps. Empty or null images stay null; a wrong number of values fails.
+
+    ``columns`` are the names of all tables' columns, or a column with each event's own; one without names fails.
+    """
     if isinstance(columns, list) and not columns:
         raise ChangeError("no schema for the table")
     names = F.array(*map(F.lit, columns)) if isinstance(columns, list) else columns
 
     def image(c: str) -> Column:
         n = F.coalesce(F.size(F.col(c)), F.lit(0))
-        return F.when(F.col(c).isNull() | (n == 0), F.lit(None)).when(n == F.size(names), F.map_from_arrays(names, F.col(c))).otherwise(
+        return F.when(F.col(c).isNull() | (n == 0), F.lit(None)).when(names.isNull(), F.raise_error(F.concat(F.lit("no schema for "), F.col("full_table_name")))).when(n == F.size(names), F.map_from_arrays(names, F.col(c))).otherwise(
             F.raise_error(F.concat(F.lit("column count mismatch in "), F.col("full_table_name"))))
 
     db, table = split_name()
-    rest = [c for c in df.columns if c not in ("full_table_name", "old_values", "new_values")]
+    rest = [c for c in df.columns if c not in ("full_table_name", "old_values", "new_values", "columns")]
     return df.select(*rest, db.alias("database"), table.alias("table"), image("old_values").alias("old_row"), image("new_values").alias("new_row"))
 
 
-def capture(name: Column, pattern: str | None) -> Column:
-    """Group 1 of the first match; null (unset) without a match or without a group; the name itself without a pattern."""
-    if not pattern:
-        return name
-    if re.compile(pattern).groups == 0:
-        return F.lit(None).cast("string")
-    return F.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1))
-
-
 def catch_names(df: DataFrame, db_var: str | None = None, table_var: str | None = None, db_pattern: str | None = None, table_pattern: str | None = None, name: str = "full_table_name") -> DataFrame:
     """Adds variables (columns) from the parts of 'db.table'. A null variable is unset."""
     if not db_var and not table_var:

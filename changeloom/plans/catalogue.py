@@ -226,7 +226,7 @@ def txn_offset(spark, sf):
 
 @_query(_LOG + "SELECT event_id, max(CASE WHEN committed THEN pos END) OVER (PARTITION BY server ORDER BY event_id) AS committed_pos FROM log")
 def last_committed_pos(spark, sf):
-    return _log(spark, sf).select("event_id", P.last_committed("pos", "committed", ["server"], "event_id").alias("committed_pos"))
+    return P.last_committed(_log(spark, sf), "pos", "committed", ["server"], "event_id").select("event_id", "committed_pos")
 
 
 @_query("SELECT o_orderkey, i AS row_index, o_orderkey+2*i AS before_value, o_orderkey+2*i+1 AS after_value FROM orders, (VALUES (0),(1)) t(i) WHERE i < floor((2+o_orderkey%4)/2)")
@@ -447,18 +447,21 @@ def stream_qps(spark, sf):
     d = _work(spark)
     _t(spark, sf, "events").write.parquet(f"{d}/in")
     s = spark.readStream.schema(spark.read.parquet(f"{d}/in").schema).parquet(f"{d}/in")
-    g = s.groupBy(F.window(F.col("ts").cast("timestamp"), "10 seconds")).agg(F.count("*").alias("n"))
+    g = jobs.rate(s, "ts")
 
     def put(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(f"{d}/out")
 
     g.writeStream.outputMode("complete").option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(f"{d}/out").select(F.unix_timestamp("window.start").alias("window_start"), F.expr("n div 10").alias("qps"), "n")
+    return spark.read.parquet(f"{d}/out").withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 def queries() -> dict:
+    from . import task_queries  # noqa: F401 - registers its own
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

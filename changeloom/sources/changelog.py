@@ -38,11 +38,11 @@ def explode_events(events: DataFrame) -> DataFrame:
     return one.unionByName(updates)
 
 
-def read_kafka(spark: SparkSession, servers: list[str], topics: list[str], from_beginning: bool = False, stream: bool = True) -> DataFrame:
+def read_kafka(spark: SparkSession, servers: list[str], topics: list[str], from_beginning: bool = False, stream: bool = True, **options: str) -> DataFrame:
     """Raw records with id topic.partition.offset. Needs Spark's Kafka connector on the class path."""
     if not servers or not topics:
         raise ChangeError("servers and topics are needed")
-    r = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", ",".join(servers)).option("subscribe", ",".join(topics))
+    r = (spark.readStream if stream else spark.read).format("kafka").options(**options).option("kafka.bootstrap.servers", ",".join(servers)).option("subscribe", ",".join(topics))
     try:
         df = r.option("startingOffsets", "earliest" if from_beginning or not stream else "latest").load()
     except Exception as e:

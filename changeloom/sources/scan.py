@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..model import INSERT, ChangeError
 
 
+#: Databases of the server itself.
+SYSTEM = ("mysql", "information_schema", "performance_schema", "sys")
+
+
 def find_tables(spark: SparkSession, pattern: str) -> list[str]:
     """'db.table' names of the catalog's base tables with a match of ``pattern``, sorted."""
     names = [f"{d.name}.{t.name}" for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name) if not t.isTemporary and t.tableType != "VIEW"]
@@ -38,6 +42,44 @@ def key_page(df: DataFrame, keys: list[str], size: int, bound: list | None = Non
     return (df.where(from_key(keys, bound)) if bound is not None else df).orderBy(*keys).limit(size + 1)
 
 
+def matching(names: list[tuple[str, str]], pattern: str) -> list[tuple[str, str]]:
+    """The (database, table) names outside the server's own databases whose 'db.table' has a match of ``pattern``."""
+    return sorted(n for n in names if n[0].lower() not in SYSTEM and re.search(pattern, ".".join(n)))
+
+
+def key_ranges(df: DataFrame, keys: list[str], size: int, most: int = 1000) -> list[DataFrame]:
+    """The table as ranges of its key of about ``size`` rows, at most ``most`` of them, each a filter that reaches the scan.
+
+    Bounds are those of a bounded sample in key order; they are the same in each run as long as the table is.
+    """
+    if not keys:
+        raise ChangeError("a scan needs a primary key")
+    n = df.count()
+    parts = min(most, -(-n // size))
+    if parts < 2:
+        return [df]
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    some = df.select(*keys).where(h < int((1 << 30) * min(1.0, 50 * parts / n))).orderBy(*keys).collect()  # about 50 rows a range
+    cuts = sorted({tuple(some[i * len(some) // parts]) for i in range(1, parts)}) if some else []
+    out, low = [], None
+    for cut in [*cuts, None]:
+        d = df if low is None else df.where(from_key(keys, list(low)))
+        out.append(d if cut is None else d.where(~from_key(keys, list(cut))))
+        low = cut
+    return out
+
+
+def as_rows(df: DataFrame, database: str, table: str, keys: list[str]) -> DataFrame:
+    """Each row as an insert in positional form (``model.DML``) with its columns' names; seq follows no order, as each key comes once."""
+    now = F.unix_timestamp()
+    null = F.lit(None).cast("array<string>")
+    name, values = f"{database}.{table}", F.array(*(F.col(f"`{c}`").cast("string") for c in df.columns))
+    key = F.concat_ws(".", F.lit(name), *(F.col(k).cast("string") for k in keys))
+    return df.select(
+        key.alias("id"), F.monotonically_increasing_id().alias("seq"), F.lit(name).alias("full_table_name"), F.lit(INSERT).alias("op"), null.alias("old_values"),
+        values.alias("new_values"), now.alias("db_time"), (now * 1_000_000_000).alias("event_time"), F.array(*map(F.lit, df.columns)).alias("columns"))
+
+
 def as_inserts(df: DataFrame, database: str, table: str, keys: list[str]) -> DataFrame:
     """Each row as a typed insert event with its key as the scan position."""
     if not keys:

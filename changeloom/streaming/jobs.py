@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.apply import apply_changes
 from ..sinks.tables import SnapshotTable
 
 
-def apply_batches(table: SnapshotTable, keys: list[str], seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each batch makes version batch_id + 1 of the target; replayed batches change nothing.
+def apply_batches(table: SnapshotTable, keys: list[str], seq: str = "seq", stream: str = "s", compact: int = 8) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch is kept as changes of the target, under the ``stream``'s name and the batch's number.
 
-    A batch may replay events of earlier ones (delivery is at least once), so sequences are not checked here.
+    A batch costs what it holds; the target is rewritten once ``compact`` batches have come. Replayed batches change
+    nothing. A batch may replay events of earlier ones (delivery is at least once), so sequences are not checked here.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id + 1 in table.versions():
-            return
-        table.write(apply_changes(table.read(), batch, keys, seq, on_invalid="ignore"), batch_id + 1)
-        table.drop_before(batch_id)  # the version before stays, for readers that are under way
+        values = [c for c in table.base().columns if c not in keys]
+        rows = batch.select(*keys, F.col(seq).alias("seq"), "op", F.struct(*values).alias("new_row"))
+        if table.append(rows, f"{stream}-{batch_id}", keys):
+            table.compact(compact)
 
     return run
 
@@ -33,13 +33,14 @@ def stateful_rows(changes: DataFrame, key: str, value: str, seq: str = "seq") ->
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         live, row = state.get if state.exists else (False, None)
-        for _, e in pd.concat(list(frames)).sort_values(seq).iterrows():
-            if e["op"] == "insert" and not live:
-                live, row = True, e[value]
-            elif e["op"] == "update" and live:
-                row = e[value]
-            elif e["op"] == "delete":
-                live, row = False, None
+        e = pd.concat(list(frames)).sort_values(seq)
+        gone = (e["op"] == "delete").to_numpy().nonzero()[0]
+        if len(gone):  # only what follows the last delete counts
+            e, live, row = e.iloc[gone[-1] + 1 :], False, None
+        if not live and (first := (e["op"] == "insert").to_numpy().nonzero()[0]).size:
+            e, live, row = e.iloc[first[0] + 1 :], True, e[value].iloc[first[0]]
+        if live and len(late := e.loc[e["op"] == "update", value]):
+            row = late.iloc[-1]
         state.update((live, row))
         yield pd.DataFrame({key: [k[0]], value: [row], "live": [live]})
 

@@ -8,16 +8,18 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.model import ChangeError, column_type, table_schema, primary_key
+from changeloom.model import ChangeError, SchemaStore, column_type, primary_key, table_schema
 from changeloom.operators import apply as A
 from changeloom.operators import merge as N
 from changeloom.operators import position as P
 from changeloom.operators import rows as R
 from changeloom.operators.mapping import map_changes, parse_mappings
 from changeloom.plans import catalogue, tasks
-from changeloom.sinks.tables import SnapshotTable, route_key, within_size
-from changeloom.sources import changelog, scan
+from changeloom.sinks.jdbc import JdbcTarget
+from changeloom.sinks.tables import Folder, SnapshotTable, route_key, within_size
+from changeloom.sources import binlog, changelog, scan
 from changeloom.streaming import jobs
+from changeloom.streaming.metrics import Gauges
 
 DML = "id string, seq long, full_table_name string, op string, old_values array<string>, new_values array<string>, db_time long, event_time long"
 
@@ -27,63 +29,69 @@ def dml(spark, *rows):
 
 
 def test_filter(spark):
-    d = dml(spark, ("test_db10.test_tab12", "insert", None, None), ("test_db10.test_tab", "update", None, None), ("test_db10.test_tab16", "delete", None, None))
-    kept = R.filter_changes(d, r"^test_db.*\.test_tab\d+$", ["insert", "update"])
-    assert [r.seq for r in kept.collect()] == [0]
-    assert R.filter_changes(d).count() == 3
+    d = dml(spark, ("eu_shop3.bill_07", "insert", None, None), ("eu_shop3.bill_", "update", None, None), ("eu_shop3.bill_08", "delete", None, None), ("us_shop3.bill_07", "insert", None, None))
+    assert [r.seq for r in R.filter_changes(d, r"^eu_.*\.bill_\d{2}$", ["insert", "update"]).collect()] == [0]
+    assert [r.seq for r in R.filter_changes(d, "shop3[.]bill_0").orderBy("seq").collect()] == [0, 2, 3]  # found anywhere
+    assert R.filter_changes(d).count() == 4 and R.filter_changes(d, ops=["delete"]).count() == 1
     with pytest.raises(ChangeError):
         R.filter_changes(d, ops=["merge"])
     assert R._prefix("^shop[12]") == "shop" and R._prefix("^ab*") == "a" and R._prefix("^a|b") is None and R._prefix("ab") is None and R._prefix(r"^a\.b") == "a.b"
 
 
 def test_names(spark):
-    d = dml(spark, ("srcdb1.srctab1", "insert", None, None))
-    r = R.catch_names(d, "d", "t", r"^([a-z]+)\d+$", r"^([a-z]+)\d+$").first()
-    assert (r.d, r.t) == ("srcdb", "srctab")
+    d = dml(spark, ("ledger_2024.entry_q3", "insert", None, None))
+    r = R.catch_names(d, "d", "t", r"_(\d+)$", r"^(.*)_q(\d)$").first()
+    assert (r.d, r.t) == ("2024", "entry")  # group 1, wherever it stands
     r = R.catch_names(d, "d", "t").first()
-    assert (r.d, r.t) == ("srcdb1", "srctab1")
-    assert R.catch_names(d, "d", db_pattern="^nope(x)").first().d is None and R.catch_names(d, "d", db_pattern="^src").first().d is None
+    assert (r.d, r.t) == ("ledger_2024", "entry_q3")
+    assert R.catch_names(d, "d", db_pattern="^nope(x)").first().d is None and R.catch_names(d, "d", db_pattern="^ledger").first().d is None
     with pytest.raises(ChangeError):
         R.catch_names(d)
     with pytest.raises(ChangeError):
         R.catch_names(d, "d", table_pattern="x")
-    with pytest.raises(PySparkException):
-        R.catch_names(dml(spark, ("a.b.c", "insert", None, None)), "d").collect()
+    for name in ("a.b.c", "a"):
+        with pytest.raises(PySparkException):
+            R.catch_names(dml(spark, (name, "insert", None, None)), "d").collect()
 
 
 def test_convert(spark):
-    d = dml(spark, ("test_db.test_tab", "update", ["101", "Dog"], ["101", "Wolf"]), ("test_db.test_tab", "insert", [], ["1", None]))
-    a, b = R.rows_to_changes(d, ["id", "name"]).orderBy("seq").collect()
-    assert (a.database, a.table, a.old_row["name"], a.new_row["name"]) == ("test_db", "test_tab", "Dog", "Wolf")
-    assert b.old_row is None and b.new_row == {"id": "1", "name": None}
-    with pytest.raises(PySparkException):
-        R.rows_to_changes(d, ["id"]).collect()
+    d = dml(spark, ("inv.part", "update", ["7", "bolt", None], ["7", "nut", "9"]), ("inv.part", "insert", [], ["1", None, "x"]), ("inv.part", "delete", ["2", "cog", ""], None))
+    a, b, c = R.rows_to_changes(d, ["no", "kind", "bin"]).orderBy("seq").collect()
+    assert (a.database, a.table, a.old_row, a.new_row) == ("inv", "part", {"no": "7", "kind": "bolt", "bin": None}, {"no": "7", "kind": "nut", "bin": "9"})
+    assert b.old_row is None and b.new_row == {"no": "1", "kind": None, "bin": "x"} and c.new_row is None and c.old_row["bin"] == ""
+    own = F.when(F.col("op") != "delete", F.array(*map(F.lit, "xyz")))
+    assert R.rows_to_changes(d.where("op = 'insert'"), own).first().new_row == {"x": "1", "y": None, "z": "x"}
+    for columns in (["no"], own):  # a wrong number of values, and no schema
+        with pytest.raises(PySparkException):
+            R.rows_to_changes(d, columns).collect()
     with pytest.raises(ChangeError):
         R.rows_to_changes(d, [])
 
 
-MAPPING = [
-    {"Source": {"DB": "src_db", "Tables": [{"Table": "src_foo_tab", "Columns": ["id", "src_name"], "Actions": ["insert", "update"]}, {"Table": "src_bar_tab"}]},
-     "Target": {"DB": "dest_db", "Tables": [{"Table": "dest_foo_tab", "Columns": ["id", "dest_name"], "Actions": ["update", "delete"]}, {"Table": "dest_bar_tab"}]}},
-]
+def _map_config(source: dict, target: dict) -> list[dict]:
+    return [{"Source": source, "Target": target}]
+
+
 CH = "database string, table string, op string, old_row map<string,string>, new_row map<string,string>, v string, w string"
 
 
 def test_mapping(spark):
-    d = spark.createDataFrame([("src_db1", "src_foo_tab1", "insert", None, {"id": "1", "src_name": "event1"}, "src_db", "src_foo_tab")], CH)
-    r = map_changes(d, parse_mappings(MAPPING), "v", "w").first()
-    assert (r.database, r.table, r.op, r.old_row["id"], r.new_row["dest_name"]) == ("dest_db1", "dest_foo_tab1", "update", "1", "event1")
-    d = spark.createDataFrame([("src_db", "src_bar_tab", "delete", {"id": "2", "name": "event2"}, None, None, None), ("x", "src_bar_tab", "delete", {"id": "2"}, None, None, None)], CH)
-    a, b = map_changes(d, parse_mappings(MAPPING)).collect()
-    assert (a.database, a.table, a.op, a.old_row, a.new_row) == ("dest_db", "dest_bar_tab", "delete", {"id": "2", "name": "event2"}, None)
-    assert (b.database, b.table) == ("x", "src_bar_tab")
+    m = _map_config({"DB": "wh", "Tables": [{"Table": "stock", "Columns": ["qty", "place"], "Actions": ["delete"]}, {"Table": "lot"}]}, {"DB": "depot", "Tables": [{"Table": "goods", "Columns": ["place", "qty"], "Actions": ["insert"]}, {"Table": "batch"}]})
+    d = spark.createDataFrame([("wh_07", "stock_wh", "delete", {"no": "5", "qty": "2", "place": "A"}, None, "wh", "stock"), ("wh_07", "lot_lot", "update", {"no": "1"}, {"no": "1"}, "wh", "lot"), ("wh_07", "other", "insert", None, {"no": "9"}, "wh", "other")], CH)
+    a, b, c = map_changes(d, parse_mappings(m), "v", "w").collect()
+    assert (a.database, a.table, a.op, a.old_row, a.new_row) == ("depot_07", "goods_wh", "insert", None, {"no": "5", "place": "2", "qty": "A"})
+    assert (b.database, b.table, b.op) == ("depot_07", "batch_lot", "update")  # the first occurrence only
+    assert (c.database, c.table, c.new_row) == ("depot_07", "other", {"no": "9"})
+    d = spark.createDataFrame([("wh", "lot", "delete", {"no": "2"}, None, None, None), ("wh_07", "lot", "delete", {"no": "2"}, None, None, None)], CH)
+    a, b = map_changes(d, parse_mappings(m)).collect()
+    assert (a.database, a.table, a.old_row, a.new_row) == ("depot", "batch", {"no": "2"}, None)
+    assert (b.database, b.table) == ("wh_07", "lot")
     with pytest.raises(PySparkException):
-        map_changes(d, parse_mappings(MAPPING), "v").collect()
-    swap = [{"Source": {"DB": "x", "Tables": [{"Table": "t", "Columns": ["a"]}]}, "Target": {"DB": "x", "Tables": [{"Table": "t", "Columns": ["b"]}]}}]
+        map_changes(d, parse_mappings(m), "v").collect()
     clash = spark.createDataFrame([("x", "t", "insert", None, {"a": "1", "b": "2"}, None, None)], CH)
     with pytest.raises(PySparkException):
-        map_changes(clash, parse_mappings(swap)).collect()
-    for bad in ([], [{"Source": {"DB": "a"}}], [{"Source": {"DB": "a", "Tables": [{"Table": "t"}]}, "Target": {"DB": "b", "Tables": []}}]):
+        map_changes(clash, parse_mappings(_map_config({"DB": "x", "Tables": [{"Table": "t", "Columns": ["a"]}]}, {"DB": "x", "Tables": [{"Table": "t", "Columns": ["b"]}]}))).collect()
+    for bad in ([], [{"Source": {"DB": "a"}}], _map_config({"DB": "a", "Tables": [{"Table": "t"}]}, {"DB": "b", "Tables": []})):
         with pytest.raises(ChangeError):
             parse_mappings(bad)
 
@@ -200,33 +208,206 @@ def test_messages(spark):
         within_size(d, most=3, block=True).collect()
 
 
+SCHEMA = [{"name": "k", "type": "int", "key": "PRI"}, {"name": "v", "type": "varchar(9)"}]
+
+
 def task(out, log, **more):
     return {"Task": {"ID": "t", "Pipeline": {"ID": "p", "Type": "DisruptorPipeline", "Input": {"Type": "MysqlBinlogInput", "Path": log}, "Processors": [
         {"Type": "MysqlDMLFilter", "FullTableNamePattern": "^shop"}, {"Type": "MysqlDMLToDBChangeConverter", "Columns": ["k", "v"]}], "Output": out}} | more}
 
 
+def put_log(spark, path, *events):
+    dml(spark, *events).coalesce(1).write.mode("append").parquet(path)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: [(x is not None, x) for x in r])
+
+
 def test_tasks(spark, tmp_path):
-    log, table = str(tmp_path / "log"), SnapshotTable(spark, str(tmp_path / "t"))
-    dml(spark, ("shop.a", "insert", None, ["3", "c"]), ("shop.a", "update", ["1", "a"], ["1", "z"]), ("shop.a", "delete", ["2", "b"], None), ("other.a", "insert", None, ["9", "q"])).coalesce(1).write.parquet(log)
-    table.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
-    out = {"Type": "MysqlBatchOutput", "Path": table.path, "Keys": ["k"]}
-    tasks.load_task(task(out, log), spark).run()
-    assert sorted(map(tuple, table.read().collect())) == [(1, "z"), (3, "c")] and table.versions() == [0, 1]
-    stream = task(out, log, StateStore={"Type": "file", "Path": str(tmp_path / "state"), "SyncIntervalMS": 10})
-    stream["Task"]["Pipeline"]["Input"]["Stream"] = True
-    tasks.load_task(stream, spark).run()
-    assert sorted(map(tuple, table.read().collect())) == [(1, "z"), (3, "c")]
+    log, to = str(tmp_path / "log"), Folder(spark, str(tmp_path / "t"))
+    put_log(spark, log, ("shop.a", "insert", None, ["3", "c"]), ("shop.a", "update", ["1", "a"], ["5", "z"]), ("shop.a", "delete", ["2", "b"], None), ("other.a", "insert", None, ["9", "q"]), ("shop.b", "insert", None, ["3", "own"]))
+    to.snapshot("shop", "a").write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+    out = {"Type": "MysqlBatchOutput", "Path": to.path, "Keys": {"shop.*": ["k"]}}
+    with pytest.raises(ChangeError, match="no schema for shop.b"):
+        tasks.load_task(task(out, log), spark).run()
+    tasks.load_task(task(out, log, Schemas={"shop.b": SCHEMA}), spark).run()
+    assert rows_of(to.read("shop", "a")) == [(3, "c"), (5, "z")] and rows_of(to.read("shop", "b")) == [(3, "own")]
+    assert tasks.load_task(task([{"Type": "DummyOutput"}, {"Type": "LogOutput", "Path": str(tmp_path / "ids")}], log), spark).run() == [None, None]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "ids")).collect()) == ["0", "1", "2", "4"]
     assert len(tasks.registered()) == 19
-    good = task({"Type": "DummyOutput"}, log)
-    tasks.load_task(good, spark).run()
     for change in (
         lambda p: p["Input"].update(Type="Nope"), lambda p: p["Output"].update(Type="Nope"), lambda p: p.pop("Processors"), lambda p: p["Processors"].reverse(),
-        lambda p: p["Processors"][0].update(Nope=1), lambda p: p["Output"].update(Type="KafkaOutput"), lambda p: p["Processors"][1].pop("Columns"),
+        lambda p: p["Processors"][0].update(Nope=1), lambda p: p["Output"].update(Type="KafkaOutput", Topic="x", Path="y"), lambda p: p["Input"].pop("Path"), lambda p: p["Input"].update(Password="x"),
+        lambda p: p.update(Type="Nope"), lambda p: p.update(BufferSize="many"), lambda p: p.update(Output={"Type": "MysqlBatchOutput", "Path": "x", "RoutingBy": "Table"}),
+        lambda p: p.update(Output={"Type": "MysqlCheckOutput", "Path": "x", "UpdateTimeColumn": "v", "UpdateTimeSkipSeconds": "x"}), lambda p: p.update(Output={"Type": "MysqlStreamOutput", "Path": "x", "RoutingBy": "Luck"}),
     ):
         bad = task({"Type": "DummyOutput"}, log)
         change(bad["Task"]["Pipeline"])
         with pytest.raises(ChangeError):
             tasks.load_task(bad, spark)
+    for more in ({"StateStore": {"Type": "zookeeper", "Addresses": ["x"]}}, {"StateStore": {"Type": "file", "Path": "x", "SaveIntervalMS": 1}}, {"Metrics": {}}, {"PProfPort": 1}):
+        with pytest.raises(ChangeError):
+            tasks.load_task(task({"Type": "DummyOutput"}, log, **more), spark)
+
+
+def test_pipelines_in_pipelines(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "ids")
+    put_log(spark, log, ("shop.a", "insert", None, ["3", "c"]), ("other.a", "insert", None, ["9", "q"]))
+    inner = task(None, log)["Task"]["Pipeline"]
+    inner.pop("Output")
+    outer = {"Type": "DisruptorPipeline", "Input": inner, "Processors": [], "Output": {"Type": "DisruptorPipeline", "Processors": [{"Type": "JsonMarshaller"}], "Output": {"Type": "LogOutput", "Path": out}}}
+    tasks.load_task({"Task": {"ID": "n", "Pipeline": outer}}, spark).run()
+    (line,) = spark.read.text(out).collect()
+    assert line[0].startswith('0 {"ID":"0"') and '"NewRow":{"k":"3","v":"c"}' in line[0]
+    outer["Output"]["Processors"].append({"Type": "MysqlDMLFilter"})
+    with pytest.raises(ChangeError):
+        tasks.load_task({"Task": {"ID": "n", "Pipeline": outer}}, spark)
+
+
+def test_streaming_task_replays_and_goes_on(spark, tmp_path):
+    log, to, state = str(tmp_path / "log"), Folder(spark, str(tmp_path / "t")), str(tmp_path / "state")
+    config = task({"Type": "MysqlStreamOutput", "Path": to.path, "RoutingBy": "PrimaryKey"}, log, Schemas={"shop.a": SCHEMA}, StateStore={"Type": "file", "Path": state, "SyncIntervalMS": 10}, Metrics={"Port": 0}, LogPath=str(tmp_path / "logs"))
+    config["Task"]["Pipeline"]["Input"]["Stream"] = True
+    config["Task"]["Metrics"]["Port"] = 19148
+    put_log(spark, log, ("shop.a", "insert", None, ["1", "a"]))
+    first = tasks.load_task(config, spark)
+    first.run()
+    t = to.snapshot("shop", "a")
+    names = t.log()
+    assert rows_of(t.read()) == [(1, "a")] and names[-1][2].endswith("-0")
+    put_log(spark, log, ("shop.a", "update", ["1", "a"], ["1", "b"]), ("shop.a", "insert", None, ["2", "c"]))
+    with pytest.raises(OSError):  # the port is in use
+        tasks.load_task(config, spark)
+    config["Task"].pop("Metrics")
+    p = tasks.load_task(config, spark)
+    p.run()
+    assert rows_of(t.read()) == [(1, "b"), (2, "c")]
+    again = p.transformed(changelog.read_changelog(spark, log))
+    p.sinks[0](again, t.log()[-1][2])  # the last batch, once more
+    assert len(t.log()) == len(names) + 1 and rows_of(t.read()) == [(1, "b"), (2, "c")]
+    import urllib.request
+
+    with urllib.request.urlopen("http://127.0.0.1:19148/metrics") as r:
+        assert 'task_events_total{task="t"} 1' in r.read().decode()
+
+
+def test_scans_are_found_and_resumed(spark, tmp_path):
+    src, to = str(tmp_path / "src"), Folder(spark, str(tmp_path / "t"))
+    one = spark.range(100).selectExpr("id AS k", "concat('v', id) AS v")
+    for name in ("shop/a1", "shop/a2", "shop/zz", "mysql/a1"):
+        one.write.parquet(f"{src}/{name}")
+    config = {"Task": {"ID": "s", "StateStore": {"Type": "file", "Path": str(tmp_path / "state")}, "Pipeline": {"Input": {"Type": "MysqlScanInput", "Path": src, "TableNameRegex": r"a\d$", "BatchSize": 30, "Keys": ["k"]}, "Processors": [{"Type": "MysqlDMLToDBChangeConverter"}], "Output": {"Type": "MysqlStreamOutput", "Path": to.path}}}}
+    p = tasks.load_task(config, spark)
+    whole, seen = p.write, []
+
+    def fails(df, token=None):
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        seen.append(df.count())
+        return whole(df, token)
+
+    p.write = fails
+    with pytest.raises(RuntimeError):
+        p.run()
+    p = tasks.load_task(config, spark)
+    whole2, more = p.write, []
+    p.write = lambda df, token=None: (more.append(df.count()), whole2(df, token))[1]
+    p.run()
+    assert sum(seen) + sum(more) == 200 and len(seen) == 3 and tasks.load_task(config, spark).run() == []
+    assert to.tables() == [("shop", "a1"), ("shop", "a2")] and rows_of(to.read("shop", "a2")) == rows_of(one)
+    assert sum(d.count() for d in scan.key_ranges(one, ["k", "v"], 7)) == 100
+
+
+def test_database_targets(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    j = JdbcTarget(spark, url, batch=2, connections=2)
+    j.execute('CREATE TABLE "a" ("k" INT PRIMARY KEY, "v" VARCHAR(9))', 'INSERT INTO "a" VALUES (1, \'a\'), (2, \'b\')')
+    log = str(tmp_path / "log")
+    put_log(spark, log, ("APP.a", "insert", None, ["3", "c"]), ("APP.a", "update", ["1", "a"], ["5", "z"]), ("APP.a", "delete", ["2", "b"], None))
+    config = task({"Type": "MysqlBatchOutput", "Url": url, "SqlBatchSize": 2, "MaxConnections": 2}, log)
+    config["Task"]["Pipeline"]["Processors"][0]["FullTableNamePattern"] = "APP"
+    for _ in range(2):  # repeated, it changes nothing more
+        tasks.load_task(config, spark).run()
+        assert rows_of(j.read("APP", "a")) == [(3, "c"), (5, "z")]
+    net = spark.createDataFrame([(3, "insert", "no"), (4, "update", "no"), (5, "update", "y"), (6, "insert", "n"), (7, "noop", None)], "k int, op string, v string")
+    j.apply(net, "APP", "a", ["k"], "ignore")
+    assert rows_of(j.read("APP", "a")) == [(3, "c"), (5, "y"), (6, "n")]
+    with pytest.raises(ChangeError):
+        j.primary_key("APP", "none")
+    check = task({"Type": "MysqlCheckOutput", "Url": url}, log)
+    check["Task"]["Pipeline"]["Processors"][0]["FullTableNamePattern"] = "APP"
+    assert [r[0] for r in tasks.load_task(check, spark).run()[0].collect()] == ["err:row_diff db:APP table:a  - expected:k:5 v:z real:k:5 v:y"]
+
+
+def test_raw_logs(spark, tmp_path):
+    raw = [
+        (1, "gtid", 10, "rot", None, None), (2, "query", 20, None, None, "BEGIN"), (3, "WRITE_ROWS_EVENTv2", 30, "t", [["1", "a"], ["2", "b"]], None), (4, "UPDATE_ROWS_EVENTv2", 40, "t", [["1", "a"], ["1", "x"]], None), (5, "xid", 50, None, None, None),
+        (6, "gtid", 60, None, None, None), (7, "DELETE_ROWS_EVENTv2", 70, "t", [["2", "b"]], None), (8, "gtid", 80, None, None, None), (9, "query", 90, None, None, "ALTER TABLE t ADD c INT"),
+    ]
+    log = spark.createDataFrame([(s, k, 1, "u", s if k == "gtid" else None, "log.1", p, 100 + s, "shop", t, r, q) for s, k, p, t, r, q in raw], binlog.RAW)
+    d = {r.id: r for r in binlog.decode(log, "gtid").collect()}
+    assert sorted(d) == ["u.1.0", "u.1.1", "u.1.2", "u.6.0"]
+    assert d["u.1.0"].pos is None and d["u.6.0"].pos.pos == 50 and (d["u.1.2"].op, d["u.1.2"].old_values) == ("update", ["1", "a"])
+    assert sorted(r.id for r in binlog.decode(log, "filepos").collect()) == ["1.log.1.30.0", "1.log.1.30.1", "1.log.1.40.0", "1.log.1.70.0"]
+    assert sorted(r.pos for r in binlog.commits(log).where("commit").collect()) == [50, 80, 90]  # an XID, a next GTID, a statement
+    info = binlog.server_info(log)
+    assert info == {"server_id": 1, "server_uuid": "u", "file": "log.1", "pos": 90, "gtid": True}
+    assert binlog.choose_mode(None, info) == "gtid" and binlog.choose_mode("filepos", info) == "filepos"
+    with pytest.raises(ChangeError):
+        binlog.choose_mode("gtid", info | {"gtid": False})
+    done = spark.createDataFrame([("u", 1, 5)], "uuid string, lo long, hi long")
+    assert binlog.from_position(log, executed=done).agg(F.min("seq")).first()[0] == 6 and binlog.from_position(log, "log.1", 60).count() == 4
+    log.write.parquet(str(tmp_path / "raw"))
+    assert binlog.reachable(spark, [str(tmp_path / "none"), str(tmp_path / "raw")]) == str(tmp_path / "raw")
+    with pytest.raises(ChangeError):
+        binlog.reachable(spark, [str(tmp_path / "none"), None])
+    config = task({"Type": "MysqlBatchOutput", "Path": str(tmp_path / "t")}, None, Schemas={"shop.t": SCHEMA})
+    config["Task"]["Pipeline"]["Input"] = {"Type": "MysqlBinlogInput", "Address": str(tmp_path / "none"), "BackupAddress": str(tmp_path / "raw"), "ReplicationMode": "gtid"}
+    tasks.load_task(config, spark).run()
+    assert rows_of(Folder(spark, str(tmp_path / "t")).read("shop", "t")) == [(1, "x")]
+    same = spark.range(1).select(binlog.same_hosts(F.array(F.lit("b"), F.lit("a"), F.lit("a")), F.array(F.lit("a"), F.lit("b")))).first()[0]
+    assert same is True
+
+
+def test_statements_that_change_schemas():
+    for q, want in {
+        "CREATE DATABASE IF NOT EXISTS `s`": [("s", None)], "drop schema s": [("s", None)], "create table if not exists t (a int)": [("d", "t")], "ALTER TABLE `x`.`t` ADD c INT": [("x", "t")],
+        "ALTER TABLE t RENAME TO u": [("d", "t"), ("d", "u")], "DROP TABLE a, x.b": [("d", "a"), ("x", "b")], "truncate t": [("d", "t")], "RENAME TABLE a TO b, x.c TO x.d": [("d", "a"), ("d", "b"), ("x", "c"), ("x", "d")],
+        "INSERT INTO t VALUES (1)": [], "BEGIN": [], "create user u": [], "/* x */ truncate table x.t": [("x", "t")],
+    }.items():
+        assert binlog.ddl_targets(q, "d") == want, q
+    s = SchemaStore({r"shop\.t\d": SCHEMA}, lambda d, t: table_schema(SCHEMA[:1]) if d == "found" else None)
+    assert s.get("shop", "t1").names == ["k", "v"] and s.get("found", "x").names == ["k"]
+    s.put("shop", "t1", table_schema(SCHEMA[:1]))
+    assert s.get("shop", "t1").names == ["k"]
+    s.evict("shop", "t1")
+    assert s.get("shop", "t1").names == ["k", "v"]
+    s.evict("found")
+    assert "found.x" not in s.kept
+    with pytest.raises(ChangeError):
+        s.get("no", "t")
+
+
+def test_values_carried_over_ranges(spark):
+    rows = [("a", 1, "x"), ("a", 4, None), ("a", 9, None), ("a", 11, "y"), ("a", 30, None), ("b", 2, None), ("b", 8, "z"), (None, 3, "n"), (None, 25, None)]
+    d = spark.createDataFrame(rows, "s string, seq long, v string")
+    for span in (1, 5, 100):
+        got = {(r.s, r.seq): (r.up, r.was) for r in P.carried(P.carried(d, ["s"], "seq", {"up": F.col("v")}, span=span), ["s"], "seq", {"was": F.col("v")}, True, span).collect()}
+        assert got == {("a", 1): ("x", None), ("a", 4): ("x", "x"), ("a", 9): ("x", "x"), ("a", 11): ("y", "x"), ("a", 30): ("y", "y"), ("b", 2): (None, None), ("b", 8): ("z", None), (None, 3): ("n", None), (None, 25): ("n", "n")}
+        t = spark.createDataFrame([("u", x) for x in (1, 2, 3, 5, 6, 10, 11, 12, 99)], "uuid string, txid long")
+        assert rows_of(P.intervals(t, span=span)) == [("u", 1, 3, 3), ("u", 5, 6, 2), ("u", 10, 12, 3), ("u", 99, 99, 1)]
+
+
+def test_gauges(monkeypatch):
+    now = [1000.0]
+    g = Gauges("x", clock=lambda: now[0])
+    g.read(5, 900)
+    assert (g.delay, g.in_flight, g.stuck()) == (100, 5, False)
+    now[0] += 5000
+    assert g.stuck() and 'task_stuck{task="x"} 1' in g.text()
+    g.progress({"processedRowsPerSecond": 12.7, "numInputRows": 5, "batchId": 3})
+    assert (g.qps, g.in_flight, g.stuck(), g.rows) == (12, 0, False, 5)
 
 
 def test_stream_restarts_from_its_checkpoint(spark, sf, tmp_path):
@@ -239,7 +420,7 @@ def test_stream_restarts_from_its_checkpoint(spark, sf, tmp_path):
         s = changelog.stream_changelog(spark, log, c.schema)
         s.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(jobs.apply_batches(t, ["o_orderkey"])).start().awaitTermination()
     want = A.apply_changes(catalogue._seed(spark, sf), c, ["o_orderkey"])
-    assert t.versions()[-1] == 2 and sorted(map(tuple, t.read().collect())) == sorted(map(tuple, want.collect()))
+    assert t.versions() == [0, 1, 2] and sorted(map(tuple, t.read().collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_stateful_stream(spark, tmp_path):
@@ -258,19 +439,45 @@ def test_order_without_loss(spark):
     assert (r.originals, r.v, r.op) == (1_000_000, 999_999, "insert")
 
 
+def test_snapshots_are_compacted(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.write(spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "k int, v string, n int"))
+    put = jobs.apply_batches(t, ["k"], stream="x", compact=3)
+    for i, e in enumerate([(1, 1, "update", "c", 7), (2, 2, "delete", None, None), (3, 3, "insert", "d", None), (4, 3, "update", "e", 1)]):
+        for _ in range(2):  # each batch twice
+            put(spark.createDataFrame([e], "seq long, k int, op string, v string, n int"), i)
+    assert rows_of(t.read()) == [(1, "c", 7), (3, "e", 1)]
+    assert [f[0] for _, f, _ in t.log()][-2:] == ["v", "d"] and rows_of(t.base()) == [(1, "c", 7), (3, "d", None)]
+
+
 def test_check_output_passes_over_recent_changes(spark, tmp_path):
     import time
 
-    from changeloom.model import ChangeError
-    from changeloom.plans import tasks
-    from changeloom.sinks.tables import SnapshotTable
-
-    now = int(time.time())
-    SnapshotTable(spark, str(tmp_path / "t")).write(spark.createDataFrame([(1, "x", 0), (2, "x", 0)], "id long, v string, at long"), 0)
-    rows = spark.createDataFrame([(1, "y", now - 5000), (2, "y", now), (3, "y", now)], "id long, v string, at long")
-    df = rows.selectExpr("struct(*) AS new_row")
-    found = lambda **c: sorted(r[0].split()[0] + r[0].split("id:")[1][0] for r in tasks._check_output({"Path": str(tmp_path / "t"), "Keys": ["id"], **c}, spark)(df).collect())
+    now, to = int(time.time()), Folder(spark, str(tmp_path))
+    to.snapshot("s", "t").write(spark.createDataFrame([(1, "x", 0), (2, "x", 0)], "id long, v string, at long"))
+    rows = [(i, "insert", "s", "t", None, {"id": str(i), "v": "y", "at": str(at)}) for i, at in ((1, now - 5000), (2, now), (3, now))]
+    df = spark.createDataFrame(rows, "seq long, op string, database string, table string, old_row map<string,string>, new_row map<string,string>")
+    ctx = tasks.Context(spark, SchemaStore())
+    found = lambda **c: sorted(r[0].split()[0] + r[0].split("id:")[1][0] for r in tasks._check_output({"Path": str(tmp_path), "Keys": ["id"], **c}, ctx)(df).collect())
     assert found() == ["err:row_diff1", "err:row_diff2", "err:row_miss3"]
     assert found(UpdateTimeColumn="at", UpdateTimeType="sec", UpdateTimeSkipSeconds=1000) == ["err:row_diff1", "err:row_miss3"]
+    for bad in ({"UpdateTimeType": "week"}, {"UpdateTimeSkipSeconds": "x"}):
+        with pytest.raises(ChangeError):
+            tasks._check_output({"Path": "x", "Keys": ["id"], **bad}, ctx)
     with pytest.raises(ChangeError):
-        tasks._check_output({"Path": "x", "Keys": ["id"], "UpdateTimeType": "week"}, spark)
+        found(UpdateTimeColumn="none")
+
+
+def test_times_of_every_kind(spark):
+    from changeloom.functions.scalars import older_than
+
+    d = spark.sql("SELECT timestamp'2024-01-01 00:00:10' AS t, 1704067210L AS sec, 1704067210000L AS milli, 1704067210000000000L AS nano")
+    for kind, column in (("time", "t"), ("sec", "sec"), ("milli", "milli"), ("nano", "nano")):
+        got = [d.select(older_than(F.col(column), now, 5, kind)).first()[0] for now in ("2024-01-01 00:00:15", "2024-01-01 00:00:16")]
+        assert got == [False, True], kind
+
+
+def test_nulls_take_the_default(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    net = spark.createDataFrame([(1, "update", None), (3, "insert", None)], "k int, op string, v string")
+    assert rows_of(A.apply_net(t, net, ["k"], null_as_default={"v": "d"})) == [(1, "d"), (2, "b"), (3, None)]
