@@ -76,11 +76,28 @@ def _passage_links(keyed: DataFrame) -> DataFrame:
     met = stored(own.join(sized(texts.select("conv_id", "size", "g", "p")), ["conv_id", "size", "g"]).select("conv_id", "turn", "own_m", "p"), "met")
     met = met.join(texts.select("conv_id", "p", "text"), ["conv_id", "p"]).join(keyed.select(F.col("m").alias("own_m"), "words"), "own_m")
     held = met.where(F.concat(F.lit(" "), "words", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("text"), F.lit(" "))))
-    held = held.select("conv_id", "p", F.col("turn").alias("at")).distinct()
-    out = wanted.select("conv_id", "q_turn", "m", "level", "hs", "p").join(held, ["conv_id", "p"]).where("at < q_turn")
+    latest = _latest_owners(held.select("conv_id", F.col("p").alias("h"), "turn"), wanted.select("conv_id", F.col("p").alias("h"), "q_turn"))
+    out = wanted.select("conv_id", "q_turn", "m", "level", "hs", "p").join(latest.withColumnRenamed("h", "p"), ["conv_id", "p", "q_turn"])
     return out.select("conv_id", "q_turn", "m", "level", F.explode("hs").alias("h"), "at")
 
 
+def _latest_owners(owners: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, h, q_turn, at): for each quoted hash the latest earlier turn that owns it, if there is one.
+
+    owners: conv_id, h, turn; quotes: conv_id, h, q_turn. Both are put in order in ranges of (conv_id, h, turn), and a range
+    starts with the last owner of those before it: a line that n messages own and n quote costs 2n rows, in any number
+    of tasks.
+    """
+    rows = owners.select("conv_id", "h", "turn", F.lit(1).alias("own")).unionByName(quotes.select("conv_id", "h", F.col("q_turn").alias("turn"), F.lit(0).alias("own"))).distinct()
+    r = stored(rows.repartitionByRange("conv_id", "h", "turn").withColumn("range", F.spark_partition_id()), "owners")
+    own = F.when(F.col("own") == 1, F.struct("conv_id", "h", "turn"))
+    ends = r.groupBy("range").agg(F.max(own).alias("end"))  # one row a range
+    ends = ends.select("range", F.last("end", True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))
+    w = Window.partitionBy("range").orderBy("conv_id", "h", "turn", "own").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("prev", F.last(own, True).over(w)).join(F.broadcast(ends), "range").withColumn("prev", F.coalesce("prev", "end"))
+    return r.where((F.col("own") == 0) & (F.col("prev.conv_id") == F.col("conv_id")) & (F.col("prev.h") == F.col("h"))).select("conv_id", "h", F.col("turn").alias("q_turn"), F.col("prev.turn").alias("at"))
+
+
 def _turns_before(turns: DataFrame) -> DataFrame:
     """Distinct (conv_id, turn) with before, the conversation's greatest smaller turn (null for its first).
 
@@ -107,7 +124,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     passage in a row (so a re-wrapped paragraph, or a part of a line, is found). Words are runs of letters and digits.
 
     Equal rows are one message. Messages that share conv_id and turn are separate, with the same parent. A quoted
-    line that several earlier messages own counts for each of them; ties go to the latest. Rows without conv_id or
+    line or passage that several earlier messages own counts for the latest of them, and so do ties. Rows without conv_id or
     turn keep their text and have no links. Null texts are empty. Conversations are never gathered in one task:
     links are joins on (conv_id, hash) of distinct lines and shingles, and depths come from pointer doubling. Other
     columns are ignored.
@@ -128,7 +145,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     keyed = m.where("conv_id is not null and turn is not null")
     wanted = keyed.select("conv_id", "turn", "m", F.explode("quotes").alias("q")).select("conv_id", F.col("turn").alias("q_turn"), "m", "q.*").distinct()
     lines = keyed.select("conv_id", "turn", F.explode("lines").alias("l")).select("conv_id", "turn", F.xxhash64("l").alias("h")).distinct()
-    links = lines.join(wanted, ["conv_id", "h"]).where("turn < q_turn").select("conv_id", "q_turn", "m", "level", "h", F.col("turn").alias("at"))
+    latest = _latest_owners(lines, wanted.select("conv_id", "h", "q_turn"))
+    links = wanted.join(latest, ["conv_id", "h", "q_turn"]).select("conv_id", "q_turn", "m", "level", "h", "at")
     links = stored(links.unionByName(_passage_links(keyed)).distinct(), "links")
     votes = links.groupBy("m", "at").agg(F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("first"), F.count("*").alias("n"))
     parent = votes.groupBy("m").agg(F.max(F.struct("first", "n", "at")).alias("best")).select("m", F.col("best.at").alias("quoted_turn"))
