@@ -2,14 +2,17 @@
 
 Unit vectors with cosine >= c are within a squared distance of 2 - 2c. A seeded rotation spreads that distance;
 split into blocks, at least one block has its proportional share or less. Each block is range-joined on a grid over
-its first coordinates (a vector is a guest in the neighbouring cells that its block's radius reaches), and every
-pair within a block's budget is verified on the original vectors in double precision, counted by the first block
-that finds it. Heavy cells are cut into tiles, so a task's memory is bounded; pairs are never emitted: a tile gives
-link counts and a star per local group of linked vectors.
+its first coordinates, as many as the label's number of vectors is worth. Cells are twice the block's radius wide, and
+a vector is a guest in the neighbouring cells that the ball of that radius around it meets. Cells hold the block's
+coordinates only. The rows of a cell that are within the block's budget of another get their vectors back, and every
+such pair is verified on the original vectors in double precision, counted by the first block that finds it. Heavy cells
+are cut into tiles, so a task's memory is bounded; pairs are never emitted: a tile gives link counts and a star per
+local group of linked vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, drop_stored, mix64, roots, sized, stored
 
-BLOCK, GRID, CELL, TILE, SLACK = 8, 2, 0.2, 1500, 1e-9
+BLOCK, TILE, SLACK = 8, 1500, 1e-9
+#: Time of a row in a cell, in tests of two rows.
+ROW = 1000
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -41,28 +46,68 @@ def _budget(d: int, s: int, e: int, cos: float) -> float:
     return (2 - 2 * cos) * (e - s) / d + SLACK
 
 
+def coordinates(n: int, m: int) -> int:
+    """How many of a block's m coordinates to grid for n vectors: the fewest rows and tests, by the shares of random
+    unit vectors. A coordinate more leaves 0.32 of a cell's pairs, and the ball around a vector meets more cells."""
+    cells = [sum(math.comb(g, j) * math.pi ** (j / 2) / math.gamma(j / 2 + 1) / 2**j for j in range(g + 1)) for g in range(m + 1)]
+    return min(range(m + 1), key=lambda g: cells[g] * (ROW + n * 0.32**g))
+
+
+def cells_of(y: np.ndarray, g: int, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, cell, home) of each row's own cell and of those that the ball of radius r around it meets.
+
+    In cells of 2 r the ball passes at most one face in each of the g coordinates.
+    """
+    side = 2 * r
+    own = np.floor(y[:, :g] / side).astype(np.int64)
+    inside = y[:, :g] - own * side
+    gap, step = np.minimum(inside, side - inside), np.where(inside < r, -1, 1)
+    masks = (np.arange(1 << g)[:, None] >> np.arange(g)) & 1
+    at, mask = np.nonzero((gap**2) @ masks.T <= r * r + SLACK)
+    cell = own[at] + step[at] * masks[mask]
+    code = np.zeros(len(at), np.uint64)
+    for i in range(g):  # cells of one code share a task, no more
+        code = mix64(code * np.uint64(31) + cell[:, i].view(np.uint64))
+    return at, code.view(np.int64), mask == 0
+
+
 def _cells(cos: float):
-    """Rows (label, d, block, cell, home, rep, w, v) of each vector's own and guest cells."""
+    """Rows (label, d, block, cell, home, point, y) of each vector's own and guest cells."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for d, part in pdf.groupby(pdf["v"].str.len() // 8):
                 x = np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), d)
-                y, label, rep, w, v = _rotated(x), *(part[c].to_numpy() for c in ("label", "rep", "w", "v"))
+                turned, size = _rotated(x), part["n"].to_numpy()
                 for b, (s, e) in enumerate(_split(d)):
                     r = np.sqrt(_budget(d, s, e, cos)) + SLACK
-                    g = min(GRID, e - s)
-                    own = np.floor(y[:, s : s + g] / CELL).astype(np.int64)
-                    reach = int(np.ceil(r / CELL))
-                    for off in np.ndindex(*[2 * reach + 1] * g):
-                        o = np.array(off) - reach
-                        cell = own + o
-                        low, high = cell * CELL - r, (cell + 1) * CELL + r
-                        ok = ((y[:, s : s + g] >= low) & (y[:, s : s + g] <= high)).all(axis=1)
-                        if not ok.any():
-                            continue
-                        c = cell[ok]
-                        yield pd.DataFrame({"label": label[ok], "d": d, "block": b, "cell": c[:, 0] * 100_003 + (c[:, 1] if g > 1 else 0), "home": not o.any(), "rep": rep[ok], "w": w[ok], "v": v[ok]})
+                    grid = np.array([coordinates(int(n), e - s) for n in size])
+                    for g in np.unique(grid):
+                        own = np.flatnonzero(grid == g)
+                        y = np.ascontiguousarray(turned[own, s:e])
+                        for lo in range(0, len(own), 500):
+                            at, cell, home = cells_of(y[lo : lo + 500], int(g), r)
+                            at += lo
+                            row = part.iloc[own[at]]
+                            yield pd.DataFrame({"label": row["label"].to_numpy(), "d": d, "block": b, "cell": cell, "home": home, "point": row["point"].to_numpy(), "y": [t.tobytes() for t in y[at]]})
+
+    return run
+
+
+def _near(cos: float):
+    """The rows of a tile that are within the block's budget of another one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, b = int(pdf["d"].iloc[0]), int(pdf["block"].iloc[0])
+        s, e = _split(d)[b]
+        y = np.frombuffer(b"".join(pdf["y"]), np.float64).reshape(len(pdf), e - s)
+        own, h, g = pdf["point"].to_numpy(), np.flatnonzero(pdf["as_home"].to_numpy()), np.flatnonzero(pdf["as_guest"].to_numpy())
+        sq = (y**2).sum(axis=1)
+        near = (sq[h][:, None] + sq[g][None, :] - 2 * (y[h] @ y[g].T) <= _budget(d, s, e, cos) + SLACK) & (own[h][:, None] != own[g][None, :])
+        hit = np.zeros(len(pdf), bool)
+        hit[h[near.any(axis=1)]] = True
+        hit[g[near.any(axis=0)]] = True
+        return pdf.loc[hit, ["label", "d", "block", "cell", "ta", "tb", "point", "as_home", "as_guest"]]
 
     return run
 
@@ -83,7 +128,7 @@ def _tile(cos: float):
         i, j = np.nonzero(near)
         i, j = h[i], g[j]
         i, j = i[(ne := rep[i] != rep[j])], j[ne]
-        count, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        count = np.zeros(len(pdf), np.int64)
         edges = []
         norm = np.sqrt((x * x).sum(axis=1))
         for p in range(0, len(i), 200_000):
@@ -98,13 +143,7 @@ def _tile(cos: float):
             np.add.at(count, a, w[c])
             edges.append((a, c))
         a, c = (np.concatenate([t[k] for t in edges]) if edges else np.zeros(0, np.int64) for k in (0, 1))
-        while True:  # smallest index of each local group
-            was = root.copy()
-            np.minimum.at(root, a, root[c])
-            np.minimum.at(root, c, root[a])
-            root = root[root]
-            if (root == was).all():
-                break
+        root = roots(a, c, len(pdf))  # smallest index of each local group
         seen = np.flatnonzero((count > 0) | (root != np.arange(len(pdf))))
         return pd.DataFrame({"rep": rep[seen], "links": count[seen], "to": rep[root[seen]]})
 
@@ -129,19 +168,24 @@ def near_vectors(vectors: DataFrame, cos: float = 0.98) -> DataFrame:
             yield pd.DataFrame({"vec_id": p["vec_id"], "label": p["label"], "v": [(np.asarray(v, np.float64) + 0.0).tobytes() for v in p["x"]]})
 
     fit = stored(fit.mapInPandas(packed, "vec_id long, label string, v binary"), "vectors")
-    same = stored(fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "points")
-    cells = same.mapInPandas(_cells(cos), "label string, d int, block int, cell long, home boolean, rep long, w long, v binary")
+    same = stored(fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")).withColumn("point", F.monotonically_increasing_id()), "points")
+    sizes = stored(same.groupBy("label").agg(F.count("*").alias("n")), "sizes")
+    cells = same.join(sized(sizes), "label").select("label", "n", "point", "v").mapInPandas(_cells(cos), "label string, d int, block int, cell long, home boolean, point long, y binary")
     cells = stored(cells, "cells")
     key = ["label", "d", "block", "cell"]
-    size = cells.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("nt"))
-    t = cells.join(size, key).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("nt")).cast("int"))
+    size = stored(cells.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("home")).alias("any")).where("n > 1 and any").select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("nt")), "sizes")
+    t = cells.join(sized(size), key).withColumn("t", F.pmod(F.xxhash64("point"), F.col("nt")).cast("int"))
     # a home row meets every guest tile of its cell, a guest row every home tile; the own tile comes once, as both
     kinds = F.concat(
         F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("nt") - 1), lambda o: F.struct(F.col("t").alias("ta"), o.alias("tb"), F.lit(True).alias("as_home"), (o == F.col("t")).alias("as_guest")))).otherwise(F.array()),
         F.transform(F.filter(F.sequence(F.lit(0), F.col("nt") - 1), lambda o: (o != F.col("t")) | ~F.col("home")), lambda o: F.struct(o.alias("ta"), F.col("t").alias("tb"), F.lit(False).alias("as_home"), F.lit(True).alias("as_guest"))),
     )
-    t = t.select(*key, "rep", "w", "v", F.explode(kinds).alias("k")).select(*key, "rep", "w", "v", "k.*")
-    found = stored(t.groupBy(*key, "ta", "tb").applyInPandas(_tile(cos), "rep long, links long, to long"), "found")
+    t = t.select(*key, "point", "y", F.explode(kinds).alias("k")).select(*key, "point", "y", "k.*")
+    near = t.groupBy(*key, "ta", "tb").applyInPandas(_near(cos), "label string, d int, block int, cell long, ta int, tb int, point long, as_home boolean, as_guest boolean")
+    near = stored(near, "near")
+    drop_stored(cells)
+    near = near.join(same.select("point", "rep", "w", "v"), "point")
+    found = stored(near.groupBy(*key, "ta", "tb").applyInPandas(_tile(cos), "rep long, links long, to long"), "found")
     comp = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per = same.select("label", "v", "rep", "w").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
