@@ -1,9 +1,12 @@
 """Stupid-backoff language-model scores of every document, computed relationally.
 
-The corpus is cut into chunks of documents of bounded text. Each chunk sends its distinct n-grams with their local
-counts, as one sorted and delta-coded block per hash range; the count table of a hash range sums what it gets and
-answers each block with the corpus counts, in the block's order; chunks join the answers to their exploded n-grams
-and sum scores per document. A very frequent n-gram is one entry per chunk, so no range is hot.
+The corpus is cut into chunks of documents of bounded text. N-grams are exploded and counted within a chunk; the chunks'
+counts are summed into count tables partitioned by the n-grams' hash, which are joined back to the chunks' n-grams and
+summed per document. Rows between the steps are sorted, delta-coded blocks of n-grams, as single rows would take several
+times the input's disk. They travel in two levels, so that P chunks and P hash ranges need P * sqrt(P) blocks, not P * P:
+a chunk sends a block for each of sqrt(P) groups of ranges; a group of sqrt(P) chunks merges its blocks (a frequent
+n-gram is then one entry) and sends one for each range; the table of a range sums these and answers them, and the answers
+go back the same way. A very frequent n-gram is one entry a block, so no range is hot.
 """
 
 from __future__ import annotations
@@ -55,48 +58,86 @@ def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataFrame:
+def spread(parts: int) -> int:
+    """Chunks (and ranges) of a group: the root of their number, rounded up."""
+    return math.isqrt(max(parts, 1) - 1) + 1
+
+
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, n_backoff, log_score, mean_log_score.
 
     Words are runs without white space, A-Z lower-cased, of whole texts. Counts are of all documents less the scored
     document's own (the texts of a row are never their own evidence; copies in other rows are). The score of a word
     is the first of: f(n-gram) / f(its context), for the longest n-gram seen elsewhere, times ``alpha`` for each
     order that was given up; f(word) / N; and 1 / (N + 1) for a word seen nowhere else. N counts the other
-    documents' words. Null or empty texts have 0 tokens, a log_score of 0 and a null mean. Repeated rows are
-    separate documents. Other columns are ignored; an empty table gives no rows.
+    documents' words. n_backoff counts the words, but a text's first, whose longest n-gram (of ``order`` words) is seen
+    nowhere else or does not fit before them. Null or empty texts have 0 tokens, a log_score of 0 and a null mean.
+    Repeated rows are separate documents; those equal in doc_id and text share a chunk. Other columns are ignored; an
+    empty table gives no rows.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total, n_rows = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = max(1, math.ceil(total / CHUNK), math.ceil(n_rows / 100_000))
+    wide = spread(parts)
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
 
+    def cut(keys: np.ndarray, counts: np.ndarray, by: int):
+        """(number, keys, counts) of the runs of ranges, or of groups of ``by`` ranges, that sorted keys fall in."""
+        if not len(keys):
+            return
+        part = _range_of(keys, parts) // by
+        at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]])
+        for s, e in zip(at[:-1], at[1:]):
+            yield int(part[s]), keys[s:e], counts[s:e]
+
+    def packed(k: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
+        return _pack(np.diff(k, prepend=np.uint64(0))), _pack(c.astype(np.uint32 if c.max() < 1 << 32 else np.uint64))
+
+    def opened(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Each block's keys, and the distinct keys of all with their summed counts."""
+        keys = [np.cumsum(_unpack(b, np.uint64), dtype=np.uint64) for b in pdf["grams"]]
+        n = [_unpack(b, np.uint32 if w == 4 else np.uint64) for b, w in zip(pdf["n"], pdf["width"])]
+        table, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return keys, table, np.bincount(at, np.concatenate(n)).astype(np.uint64)
+
+    def row(*head_and_arrays):
+        *head, k, c = head_and_arrays
+        return (*head, *packed(k, c), 4 if c.max() < 1 << 32 else 8)
+
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, at, ends = _grams(pdf["text"].tolist(), order)
+        grams, at, _ = _grams(pdf["text"].tolist(), order)
         keys, n = _distinct(grams, at)
-        part = _range_of(keys, parts)
-        cut = np.flatnonzero(np.diff(part)) + 1
-        rows = []
-        for k, c in zip(np.split(keys, cut), np.split(n, cut)):
-            if len(k):
-                rows.append((int(_range_of(k[:1], parts)[0]), int(pdf["chunk"].iloc[0]), _pack(np.diff(k, prepend=np.uint64(0))), _pack(c.astype(np.uint32)), int(ends[-1])))
-        return pd.DataFrame(rows, columns=["part", "chunk", "grams", "n", "words"])
+        chunk = int(pdf["chunk"].iloc[0])
+        return pd.DataFrame([row(chunk // wide, g, chunk, k, c) for g, k, c in cut(keys, n, wide)], columns=["chunks", "ranges", "chunk", "grams", "n", "width"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, table, n = opened(pdf)
+        at = int(pdf["chunks"].iloc[0]), int(pdf["ranges"].iloc[0])
+        return pd.DataFrame([row(p, *at, k, c) for p, k, c in cut(table, n, 1)], columns=["part", "chunks", "ranges", "grams", "n", "width"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(_unpack(b, np.uint64), dtype=np.uint64) for b in pdf["grams"]]
-        table, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_unpack(b, np.uint32) for b in pdf["n"]])).astype(np.uint64)
-        counts = total[inverse]
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "counts": [_pack(c) for c in np.split(counts, cut)]})
-
-    asked = d.groupBy("chunk").applyInPandas(ask, "part long, chunk long, grams binary, n binary, words long")
-    answers = asked.groupBy("part").applyInPandas(answer, "chunk long, part long, counts binary")
+        keys, table, n = opened(pdf)
+        counts = [_pack(n[np.searchsorted(table, k)]) for k in keys]
+        return pd.DataFrame({"chunks": pdf["chunks"], "ranges": pdf["ranges"], "part": pdf["part"], "counts": counts})
+
+    def divide(asked: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame(columns=["chunk", "ranges", "counts"])
+        keys, table, _ = opened(asked)
+        n = np.concatenate([_unpack(b, np.uint64) for b in got.sort_values("part")["counts"]])
+        return pd.DataFrame({"chunk": asked["chunk"], "ranges": asked["ranges"], "counts": [_pack(n[np.searchsorted(table, k)]) for k in keys]})
+
+    block = "grams binary, n binary, width int"
+    asked = d.groupBy("chunk").applyInPandas(ask, f"chunks long, ranges long, chunk long, {block}")
+    merged = asked.groupBy("chunks", "ranges").applyInPandas(merge, f"part long, chunks long, ranges long, {block}")
+    table = merged.groupBy("part").applyInPandas(answer, "chunks long, ranges long, part long, counts binary")
+    answers = asked.groupBy("chunks", "ranges").cogroup(table.groupBy("chunks", "ranges")).applyInPandas(divide, "chunk long, ranges long, counts binary")
     words = d.select(F.sum(n_words(F.col("text"))).alias("n")).first()[0] or 0
 
     def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         grams, at, ends = _grams(texts["text"].tolist(), order)
         keys, _ = _distinct(grams, at)
-        counts = np.concatenate([_unpack(b, np.uint64) for b in got.sort_values("part")["counts"]]) if len(got) else np.zeros(0, np.uint64)
+        counts = np.concatenate([_unpack(b, np.uint64) for b in got.sort_values("ranges")["counts"]]) if len(got) else np.zeros(0, np.uint64)
         places = [np.searchsorted(keys, g) if len(keys) else g.astype(np.int64) for g in grams]
         rows = []
         for i, (a, b) in zip(texts["doc_id"], zip(ends[:-1], ends[1:])):

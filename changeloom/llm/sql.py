@@ -25,15 +25,19 @@ k AS (SELECT doc_id, count(*) AS n, string_agg(id,',' ORDER BY id) AS ids, max(s
 SELECT doc_id, coalesce(n,0) AS n_licenses, coalesce(ids,'') AS licenses, coalesce(s,0.0)::DOUBLE AS containment FROM d LEFT JOIN k USING (doc_id)"""
 
 OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-t AS (SELECT doc_id, n, i, w[i] AS x, CASE WHEN i>1 THEN w[i-1] END AS p FROM (SELECT doc_id, w, len(w) AS n, unnest(range(1,len(w)+1)) AS i FROM d)),
+t AS (SELECT doc_id, n, i, w[i] AS x, CASE WHEN i>1 THEN w[i-1] END AS p, CASE WHEN i>2 THEN w[i-2] END AS q FROM (SELECT doc_id, w, len(w) AS n, unnest(range(1,len(w)+1)) AS i FROM d)),
 o1 AS (SELECT doc_id, x, count(*) AS f FROM t GROUP BY 1,2), u AS (SELECT x, sum(f) AS f FROM o1 GROUP BY 1),
 o2 AS (SELECT doc_id, p, x, count(*) AS f FROM t WHERE p IS NOT NULL GROUP BY 1,2,3), b AS (SELECT p, x, sum(f) AS f FROM o2 GROUP BY 1,2),
-s AS (SELECT t.doc_id, t.p, u.f-o1.f AS f1, (SELECT count(*) FROM t)-t.n AS m, coalesce(b.f-o2.f,0) AS f2, cu.f-co.f AS fc
+o3 AS (SELECT doc_id, q, p, x, count(*) AS f FROM t WHERE q IS NOT NULL GROUP BY 1,2,3,4), c AS (SELECT q, p, x, sum(f) AS f FROM o3 GROUP BY 1,2,3),
+s AS (SELECT t.doc_id, t.p, t.q, u.f-o1.f AS f1, (SELECT count(*) FROM t)-t.n AS m, coalesce(b.f-o2.f,0) AS f2, cu.f-co.f AS fc, coalesce(c.f-o3.f,0) AS f3, cb.f-cd.f AS fcc
  FROM t JOIN u USING (x) JOIN o1 USING (doc_id,x) LEFT JOIN b ON b.p=t.p AND b.x=t.x LEFT JOIN o2 ON o2.doc_id=t.doc_id AND o2.p=t.p AND o2.x=t.x
- LEFT JOIN u cu ON cu.x=t.p LEFT JOIN o1 co ON co.doc_id=t.doc_id AND co.x=t.p),
-q AS (SELECT doc_id, count(*) AS n, count(CASE WHEN p IS NOT NULL AND f2=0 THEN 1 END) AS nb,
- sum(ln(CASE WHEN f2>0 THEN f2/fc ELSE (CASE WHEN p IS NULL THEN 1.0 ELSE 0.4 END)::DOUBLE*(CASE WHEN f1>0 THEN f1/m ELSE 1.0/(m+1) END)::DOUBLE END)) AS s FROM s GROUP BY 1)
-SELECT doc_id, coalesce(n,0) AS n_tokens, coalesce(nb,0) AS n_backoff, coalesce(s,0.0)::DOUBLE AS log_score, s/n AS mean_log_score FROM d LEFT JOIN q USING (doc_id)"""
+ LEFT JOIN c ON c.q=t.q AND c.p=t.p AND c.x=t.x LEFT JOIN o3 ON o3.doc_id=t.doc_id AND o3.q=t.q AND o3.p=t.p AND o3.x=t.x
+ LEFT JOIN u cu ON cu.x=t.p LEFT JOIN o1 co ON co.doc_id=t.doc_id AND co.x=t.p
+ LEFT JOIN b cb ON cb.p=t.q AND cb.x=t.p LEFT JOIN o2 cd ON cd.doc_id=t.doc_id AND cd.p=t.q AND cd.x=t.p),
+z AS (SELECT doc_id, count(*) AS n, count(CASE WHEN p IS NOT NULL AND f3=0 THEN 1 END) AS nb,
+ sum(ln(CASE WHEN f3>0 THEN f3/fcc WHEN f2>0 THEN (CASE WHEN q IS NULL THEN 1.0 ELSE 0.4 END)::DOUBLE*f2/fc
+  ELSE (CASE WHEN p IS NULL THEN 1.0::DOUBLE WHEN q IS NULL THEN 0.4::DOUBLE ELSE 0.4::DOUBLE*0.4::DOUBLE END)*(CASE WHEN f1>0 THEN f1/m ELSE 1.0/(m+1) END)::DOUBLE END)) AS s FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n,0) AS n_tokens, coalesce(nb,0) AS n_backoff, coalesce(s,0.0)::DOUBLE AS log_score, s/n AS mean_log_score FROM d LEFT JOIN z USING (doc_id)"""
 
 OP6 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[p:p+2],' ') AS g FROM (SELECT doc_id, w, unnest(range(1,len(w)-1)) AS p FROM d WHERE len(w)>=3) UNION ALL SELECT doc_id, array_to_string(w,' ') FROM d WHERE len(w) IN (1,2))),

@@ -163,11 +163,27 @@ def test_vectors_brute_force(spark):
     assert embeddup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_vectors_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("grid", [1, 4, 8])
+def test_vectors_tiles(spark, grid, monkeypatch):
     monkeypatch.setattr(embeddup, "TILE", 7)
+    monkeypatch.setattr(embeddup, "coordinates", lambda n, m: min(grid, m))
     test_vectors_brute_force(spark)
 
 
+def test_cells_prune(spark):
+    """Random unit vectors: the pairs that meet in a cell of a block, of all, and the rows of a vector in a block."""
+    x = np.random.default_rng(2).standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y, r = x @ embeddup.rotation(64), np.sqrt(embeddup._budget(64, 0, 8, 0.98))
+    met, rows = {}, {}
+    for g in (2, 4, 8):
+        at, cells, home = embeddup.cells_of(y[:, :8], g, r)
+        homes, guests = np.bincount(np.unique(cells, return_inverse=True)[1], home), np.bincount(np.unique(cells, return_inverse=True)[1])
+        met[g], rows[g] = (homes * guests).sum() / len(x) ** 2, len(at) / len(x)
+    assert met[2] > met[4] > met[8] and met[4] < 0.25 and met[8] < 0.03 and rows[8] < 150
+    assert embeddup.coordinates(10, 8) == 0 and embeddup.coordinates(10**9, 8) == 8 and embeddup.coordinates(10**9, 3) == 3
+
+
 # n-gram Jaccard join
 
 @pytest.mark.parametrize("size,num", [(3, 90), (5, 80), (1, 50)])
@@ -244,7 +260,7 @@ def test_license_edges(spark):
 # language model
 
 def test_lm_edges_and_trigrams(spark):
-    out = {r.doc_id: r for r in lm.stupid_backoff(edge(spark)).collect()}
+    out = {r.doc_id: r for r in lm.stupid_backoff(edge(spark), 2).collect()}
     assert (out[0].n_tokens, out[0].log_score, out[0].mean_log_score) == (0, 0.0, None) and out[5].n_backoff == 0
     assert lm.stupid_backoff(docs(spark, []).limit(0)).count() == 0
     three = {r.doc_id: r for r in lm.stupid_backoff(docs(spark, ["a b c", "a b c", "a b d"]), 3).collect()}
@@ -252,6 +268,45 @@ def test_lm_edges_and_trigrams(spark):
     assert three[0].log_score == pytest.approx(np.log(2 / 6) + np.log(1.0) + np.log(1 / 2))
 
 
+def plain_backoff(texts, order, alpha=0.4):
+    import collections
+
+    words = [(t or "").lower().split() for t in texts]
+    grams = [collections.Counter(tuple(w[i : i + o]) for o in range(1, order + 1) for i in range(len(w) - o + 1)) for w in words]
+    every, total = sum(grams, collections.Counter()), sum(map(len, words))
+    out = []
+    for w, own in zip(words, grams):
+        f, others, s = (lambda g: every[g] - own[g]), total - len(w), 0.0  # noqa: B023
+        for i in range(len(w)):
+            most = min(i + 1, order)
+            for o in range(most, 0, -1):
+                g = tuple(w[i - o + 1 : i + 1])
+                if o == 1:
+                    p = f(g) / others if f(g) else 1 / (others + 1)
+                elif f(g):
+                    p = f(g) / f(g[:-1])
+                else:
+                    continue
+                s += np.log(p * alpha ** (most - o))
+                break
+        out.append((len(w), s))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 400)  # several chunks and ranges, in two levels
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, int(rng.integers(0, 60))) if x < 30) for _ in range(80)] + ["the of the of " * 30] * 9 + [None, "", "w1"]
+    got = {r.doc_id: r for r in lm.stupid_backoff(docs(spark, texts), order).collect()}
+    for i, (n, s) in enumerate(plain_backoff(texts, order)):
+        assert got[i].n_tokens == n and got[i].log_score == pytest.approx(s, abs=1e-8), i
+
+
+def test_lm_spread():
+    assert [lm.spread(p) for p in (1, 2, 16, 17, 10_000)] == [1, 2, 4, 5, 100]
+
+
 # chat
 
 def test_quotation_linking(spark):
@@ -307,11 +362,25 @@ def test_quotes_against_brute_force(spark):
     for _, t, _, text in rows:
         lines = [x[2:].strip() for x in text.split("\n") if x.startswith("> ")]
         whole = " ".join(lines)
-        votes = [(len({x for x in lines if x == said[s] or f" {whole} " in f" {said[s]} "}), s) for s in range(t)] if lines else []
-        best = max((v for v in votes if v[0]), default=None)
+        at = {}  # the latest that owns a line, or holds the passage
+        for x in lines:
+            for s in [max((s for s in range(t) if said[s] == x), default=None), max((s for s in range(t) if f" {whole} " in f" {said[s]} "), default=None)]:
+                if s is not None:
+                    at.setdefault(s, set()).add(x)
+        best = max(((len(v), s) for s, v in at.items()), default=None)
         assert got[t].parent_turn == (best[1] if best else t - 1 if t else None), (t, text)
 
 
+def test_a_common_line_gives_one_link_a_quote(spark, monkeypatch):
+    n, kept = 3000, {}
+    put = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name: kept.setdefault(name, put(df, name)) if name == "links" else put(df, name))
+    rows = [(1, t, "user", "> ok\nok" if t else "ok") for t in range(n)]
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert kept["links"].count() == n - 1
+    assert all((r.parent_turn, r.n_linked) == (r.turn - 1 if r.turn else None, int(r.turn > 0)) for r in got)
+
+
 def test_turns_with_gaps(spark):
     rows = [(c, t, "user", f"text {c} {t}") for c, ts in ((1, (0, 2, 5)), (2, (10,)), (3, range(0, 4000, 10))) for t in ts] + [(1, 5, "user", "another")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
