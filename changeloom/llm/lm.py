@@ -3,8 +3,8 @@
 The corpus is cut into chunks of documents of bounded text. N-grams are exploded and counted within a chunk; the chunks'
 counts are summed into count tables partitioned by the n-grams' hash, which are joined back to the chunks' n-grams and
 summed per document. Rows between the steps are sorted, delta-coded blocks of n-grams, as single rows would take several
-times the input's disk. They travel in two levels, so that P chunks and P hash ranges need P * sqrt(P) blocks, not P * P:
-a chunk sends a block for each of sqrt(P) groups of ranges; a group of sqrt(P) chunks merges its blocks (a frequent
+times the input's disk. A chunk sends a block to each range. Beyond FLAT chunks, whose blocks would be too many and too
+small, they travel in two levels, so that P chunks and P hash ranges need P * sqrt(P) blocks, not P * P: a chunk sends a block for each of sqrt(P) groups of ranges; a group of sqrt(P) chunks merges its blocks (a frequent
 n-gram is then one entry) and sends one for each range; the table of a range sums these and answers them, and the answers
 go back the same way. A very frequent n-gram is one entry a block, so no range is hot.
 """
@@ -24,6 +24,8 @@ from .textops import word_hashes
 
 #: Bytes of text of a chunk, and of the text whose n-grams a hash range holds.
 CHUNK = 8 << 20
+#: Chunks up to which each sends a block to each range. Two levels write the n-grams about twice.
+FLAT = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -78,7 +80,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total, n_rows = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = max(1, math.ceil(total / CHUNK), math.ceil(n_rows / 100_000))
-    wide = spread(parts)
+    wide = 1 if parts <= FLAT else spread(parts)
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
 
     def cut(keys: np.ndarray, counts: np.ndarray, by: int):
@@ -129,9 +131,14 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
 
     block = "grams binary, n binary, width int"
     asked = d.groupBy("chunk").applyInPandas(ask, f"chunks long, ranges long, chunk long, {block}")
-    merged = asked.groupBy("chunks", "ranges").applyInPandas(merge, f"part long, chunks long, ranges long, {block}")
-    table = merged.groupBy("part").applyInPandas(answer, "chunks long, ranges long, part long, counts binary")
-    answers = asked.groupBy("chunks", "ranges").cogroup(table.groupBy("chunks", "ranges")).applyInPandas(divide, "chunk long, ranges long, counts binary")
+    answered = "chunks long, ranges long, part long, counts binary"
+    if wide == 1:
+        table = asked.withColumn("part", F.col("ranges")).groupBy("part").applyInPandas(answer, answered)
+        answers = table.select(F.col("chunks").alias("chunk"), "ranges", "counts")
+    else:
+        merged = asked.groupBy("chunks", "ranges").applyInPandas(merge, f"part long, chunks long, ranges long, {block}")
+        table = merged.groupBy("part").applyInPandas(answer, answered)
+        answers = asked.groupBy("chunks", "ranges").cogroup(table.groupBy("chunks", "ranges")).applyInPandas(divide, "chunk long, ranges long, counts binary")
     words = d.select(F.sum(n_words(F.col("text"))).alias("n")).first()[0] or 0
 
     def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:

@@ -293,9 +293,10 @@ def plain_backoff(texts, order, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_lm_brute_force(spark, order, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK", 400)  # several chunks and ranges, in two levels
+@pytest.mark.parametrize("order,flat", [(1, 4096), (3, 4096), (3, 0), (4, 0)])
+def test_lm_brute_force(spark, order, flat, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 400)  # several chunks and ranges, in one level and in two
+    monkeypatch.setattr(lm, "FLAT", flat)
     rng = np.random.default_rng(order)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, int(rng.integers(0, 60))) if x < 30) for _ in range(80)] + ["the of the of " * 30] * 9 + [None, "", "w1"]
     got = {r.doc_id: r for r in lm.stupid_backoff(docs(spark, texts), order).collect()}
