@@ -4,9 +4,10 @@ The corpus is cut into chunks of documents of bounded text. N-grams are exploded
 counts are summed into count tables partitioned by the n-grams' hash, which are joined back to the chunks' n-grams and
 summed per document. Rows between the steps are sorted, delta-coded blocks of n-grams, as single rows would take several
 times the input's disk. A chunk sends a block to each range. Beyond FLAT chunks, whose blocks would be too many and too
-small, they travel in two levels, so that P chunks and P hash ranges need P * sqrt(P) blocks, not P * P: a chunk sends a block for each of sqrt(P) groups of ranges; a group of sqrt(P) chunks merges its blocks (a frequent
-n-gram is then one entry) and sends one for each range; the table of a range sums these and answers them, and the answers
-go back the same way. A very frequent n-gram is one entry a block, so no range is hot.
+small, they travel in two levels, so that P chunks and P hash ranges need P * sqrt(P) blocks, not P * P: a chunk sends
+a block for each of sqrt(P) groups of ranges; a group of sqrt(P) chunks merges its blocks (a frequent n-gram is then one
+entry) and sends one for each range; the table of a range sums these and answers them, and the answers go back the same
+way. A very frequent n-gram is one entry a block, so no range is hot.
 """
 
 from __future__ import annotations
