@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -21,6 +22,11 @@ def docs(spark, texts, start=0):
     return spark.createDataFrame(rows, DOC)
 
 
+def plain_words(text):
+    """Words of decontamination and license scans."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
 EDGE = [None, "", "   \n", "one", "one two", LONG, LONG, "a b c d e f g h i j k l", "a b c d e f g h i j k l", "Licensed under the Apache License, Version 2.0."]
 
@@ -56,22 +62,23 @@ def test_broadcasts_follow_counted_bytes(spark):
     assert hinted(common.sized(kept.where("a = 7"), 0))
 
 
-def test_pii_base_matches_plain_patterns(spark, sf):
-    def plain(t):
-        out = []
-        for k, p in enumerate(pii.PATTERNS.values()):
-            for m in re.finditer(p, t):
-                d = re.sub("[^0-9]", "", m[0])
-                if (k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 12 <= len(d) <= 19 and pii.luhn(d) or k == 3 and 9 <= len(d) <= 15):
-                    out.append((m.start(), k, m.end()))
-        return sorted(out)
+def plain_spans(t):
+    out = []
+    for k, p in enumerate(pii.PATTERNS.values()):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if (k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 12 <= len(d) <= 19 and pii.luhn(d) or k == 3 and 9 <= len(d) <= 15):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
 
+
+def test_pii_base_matches_plain_patterns(spark, sf):
     texts = [r[0] or "" for r in Q.table(spark, sf, "documents").select("text").collect()]
     rng = np.random.default_rng(3)
     texts += ["".join(rng.choice(list("a1.@+- (9_%\n,"), 60)) for _ in range(400)]
     texts += ["a@@b.co x@y.z@q.r.s ..@a.b a@b a@b.c-d", "4111 1111 1111 1111 and 1.2.3.4.5.6.7.8 300.1.1.1 0001.2.3.4", "+1 (988) 555-2485", "é@b.co \U0001f600 a@b.co"]
     for t in texts:
-        assert pii.base_spans(t) == plain(t), t
+        assert pii.base_spans(t) == plain_spans(t), t
 
 
 def test_pii_adds_consistent_mentions(spark):
@@ -100,6 +107,25 @@ def test_distant_mentions_agree():
     assert np.abs(pii.posterior(x, [(i - 1, i, 1) for i in range(1, n)], w) - want).max() < 0.01
 
 
+def test_marginals_of_small_fields():
+    rng, n_l = np.random.default_rng(5), pii.L
+    for n, loop in itertools.product((1, 2, 4, 5), (False, True)):
+        x, w = rng.normal(size=(n, pii.NF)), rng.normal(size=(pii.NF + 2 * pii.L, pii.L)) * 0.3
+        for k in range(2):
+            b = w[pii.NF + k * n_l : pii.NF + (k + 1) * n_l]
+            b[:] = (b + b.T) / 2
+        edges = [(int(rng.integers(0, i)), i, int(rng.integers(0, 2))) for i in range(1, n)]
+        if loop and n > 2:
+            edges += [(0, n - 1, 1), (0, n - 2, 0)]
+        node, sums = x @ w[: pii.NF], np.zeros((n, n_l))
+        for y in itertools.product(range(n_l), repeat=n):
+            z = sum(node[i, y[i]] for i in range(n)) + sum(w[pii.NF + k * n_l + y[i], y[j]] for i, j, k in edges)
+            for i in range(n):
+                sums[i, y[i]] += np.exp(z)
+        off = np.abs(pii.posterior(x, edges, w) - sums / sums.sum(axis=1, keepdims=True)).max()
+        assert off < (0.05 if loop else 0.005), (n, loop, off)  # exact on trees, near with loops
+
+
 def test_pii_trains_on_long_texts(spark):
     long = "ring +14155550123 today and in 1999. " + "word " * 5000
     assert np.abs(pii.fit(docs(spark, [long]))).max() > 0
@@ -126,6 +152,28 @@ def test_quality_held_out(spark):
     assert np.mean([g > b for g, b in itertools.product(good, bad)]) > 0.95
 
 
+def test_dual_descent_against_projected_gradients():
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(90)]
+    scale, cost = rng.normal(size=40), rng.uniform(0.5, 2, 90)
+    x = np.zeros((90, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt(len(r))
+    x[:, 40] = 1.0  # the bias
+    y = np.where(x @ rng.normal(size=41) + rng.normal(size=90) > 0.5, 1.0, -1.0)
+    assert 10 < (y > 0).sum() < 80
+    loss = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w))
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    a, step = np.zeros(90), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(30_000):
+        a = np.clip(a - step * (q @ a - 1), 0, cost)
+    want = x.T @ (a * y)
+    assert loss(want) - (a.sum() - a @ q @ a / 2) < 1e-3  # no gap: this is the minimum
+    w, bias = quality._descend(rows, scale, y, cost, 5000)
+    got = np.append(w, bias)
+    assert loss(got) < loss(want) * 1.005 and np.abs(got - want).max() < 0.05
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     m = quality.fit(docs(spark, ["a"]), none)
@@ -246,6 +294,22 @@ def test_short_license_lines_are_never_lost(spark):
     assert [(r.doc_id, r.licenses) for r in out.collect() if r.licenses != names[r.doc_id % 3]] == []
 
 
+def test_edited_notices_are_found(spark):
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    texts, want = [], []
+    for name, text in licenses.TEMPLATES:
+        ws, own = text.split(), grams(plain_words(text))
+        for i in range(len(ws)):
+            t = " ".join([f"lead{i}", "in", *ws[:i], "zzq", *ws[i + 1 :], "tail", f"out{i}"])
+            if len(own & grams(plain_words(t))) >= licenses.CONTAINED * len(own):
+                texts.append(t)
+                want.append(name)
+    assert len(texts) > 80
+    t = spark.createDataFrame(licenses.TEMPLATES, "template_id string, text string")
+    got = {r.doc_id: r.licenses.split(",") for r in licenses.scan_licenses(docs(spark, texts), t).collect()}
+    assert [i for i, name in enumerate(want) if name not in got[i]] == []
+
+
 def test_license_edges(spark):
     t = spark.createDataFrame([*licenses.TEMPLATES, (None, "a b c d e f"), ("short", "a b"), ("null", None)], "template_id string, text string")
     for name, text in licenses.TEMPLATES:
@@ -411,6 +475,48 @@ def test_budgets():
     assert mixing.leaf_budgets(supply, 400.0, {}, 1) == {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 290}
 
 
+def plain_budgets(supply, budget, weights, epochs, path=()):
+    """Shares of each node's children are min(cap, level * weight), at the level at which they hold the node's share."""
+    if path in supply:
+        return {path: int(budget + 1e-6)}
+    children = sorted({k[: len(path) + 1] for k in supply if k[: len(path)] == path}, key=str)
+    ws = [weights.get(c, 1.0) for c in children]
+    caps = [epochs * sum(n for k, n in supply.items() if k[: len(c)] == c) for c in children]
+    budget, low, high = min(budget, sum(c for c, w in zip(caps, ws) if w > 0)), 0.0, 1e9
+    for _ in range(150):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, mid * w) for c, w in zip(caps, ws)) < budget else (low, mid)
+    return {k: v for c, w, cap in zip(children, ws, caps) for k, v in plain_budgets(supply, min(cap, high * w), weights, epochs, c).items()}
+
+
+def check_mix(before, out, weights, share, epochs):
+    """Leaves get prefixes of their budgets; before: (doc_id, leaf, words), out: (doc_id, leaf, epoch, n_tokens)."""
+    leaves = {}
+    for i, leaf, n in before:
+        if n:
+            leaves.setdefault(leaf, {})[i] = n
+    goal = plain_budgets({k: sum(v.values()) for k, v in leaves.items()}, share * sum(sum(v.values()) for v in leaves.values()), weights, epochs)
+    assert {leaf for _, leaf, _, _ in out} <= set(leaves)
+    for leaf, own in leaves.items():
+        rows = [r for r in out if r[1] == leaf]
+        assert all(own[r[0]] == r[3] for r in rows) and len({(r[0], r[2]) for r in rows}) == len(rows)
+        total, left, top = sum(r[3] for r in rows), goal[leaf], max((r[2] for r in rows), default=0)
+        most = max((r[3] for r in rows if r[2] == top), default=0)  # the last of the prefix is one of these
+        assert total - most < left <= total if rows else left == 0, leaf
+        assert all({r[0] for r in rows if r[2] == e} == set(own) for e in range(top))
+
+
+def test_budgets_of_random_trees():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        paths = {(f"d{rng.integers(3)}", f"l{rng.integers(3)}", f"s{rng.integers(4)}") for _ in range(14)}
+        supply = {p: int(rng.integers(1, 2000)) for p in paths}
+        weights = {p[: rng.integers(1, 4)]: float(rng.choice([0, 0.5, 2, 7])) for p in list(paths)[:8]}
+        budget, epochs = float(rng.integers(1, 30_000)), int(rng.integers(1, 4))
+        got, want = mixing.leaf_budgets(supply, budget, weights, epochs), plain_budgets(supply, budget, weights, epochs)
+        assert set(want) == paths and all(abs(got.get(p, 0) - want[p]) <= 1 for p in paths)
+
+
 def test_mix_prefixes(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
     d = Q.with_domain(Q.table(spark, sf, "documents"))
@@ -420,7 +526,7 @@ def test_mix_prefixes(spark, sf, monkeypatch):
     for r in every:
         if n := len((r.text or "").split()):
             leaves.setdefault((r.domain, r.lang, r.source), {})[r.doc_id] = n
-    goal = mixing.leaf_budgets({k: sum(v.values()) for k, v in leaves.items()}, 0.8 * sum(sum(v.values()) for v in leaves.values()), Q.WEIGHTS, 3)
+    goal = plain_budgets({k: sum(v.values()) for k, v in leaves.items()}, 0.8 * sum(sum(v.values()) for v in leaves.values()), Q.WEIGHTS, 3)
     for leaf, own in leaves.items():
         rows = [r for r in out if (r.domain, r.lang, r.source) == leaf]
         total, left = sum(r.n_tokens for r in rows), goal.get(leaf, 0)
@@ -459,6 +565,14 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_characters_over_segment_borders(spark, tmp_path):
+    html = ["é\u20ac\U0001f600" * 40 + "x" * k for k in range(4)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string"), path, segment_bytes=37)
+    got = {r.record_id.split(":")[2]: r for r in warc.read_archives(spark, path).collect()}
+    assert all(bytes(got[str(i)].payload).decode() == h and got[str(i)].problem is None for i, h in enumerate(html))
+
+
 def test_archives_with_faults(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc" * 10)
     seg = lambda i, n, part, total=None: warc._record("response" if i == 1 else "continuation", f"urn:{n}" if i == 1 else f"urn:{n}:{i}", part, [("WARC-Segment-Number", str(i)), *([("WARC-Segment-Origin-ID", f"<urn:{n}>")] if i > 1 else []), *([("WARC-Segment-Total-Length", str(total))] if total else [])]) + b"\r\n\r\n"
@@ -473,16 +587,92 @@ def test_archives_with_faults(spark, tmp_path):
 
 # pipeline
 
-def test_pipeline_stages(spark, sf):
+def plain_kept(rows):
+    """Ids of one row of each group of near copies: five-word shingles, linked pair by pair."""
+    sets = {}
+    for r in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+            i, j = sorted((top(i), top(j)))
+            root[j] = i
+    return {i for i in sets if root[i] == i}
+
+
+def plain_clean(rows, items):
+    runs = {}
+    for r in items:
+        ws = plain_words(r.text)
+        n = min(8, len(ws))
+        if n and r.item_id is not None:
+            runs.setdefault(n, set()).update(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
+    words = {r.doc_id: plain_words(r.text) for r in rows}
+    return {d for d, ws in words.items() if not any(tuple(ws[i : i + n]) in s for n, s in runs.items() for i in range(len(ws) - n + 1))}
+
+
+def test_pipeline_stages(spark, sf, monkeypatch):
     import corpus_pipeline as P
 
+    seen = {}
+
+    def noted(module):
+        fit = module.fit
+
+        def run(*a, **k):
+            seen[module] = (a, fit(*a, **k))
+            return seen[module][1]
+
+        return run
+
+    for module in (quality, pii):
+        monkeypatch.setattr(module, "fit", noted(module))
+    items = Q.table(spark, sf, "benchmark").collect()
     d = Q.table(spark, sf, "documents")
-    columns = d.columns
+    columns, rows = d.columns, {}
+    before = d.collect()
     for name, stage in P.STAGES:
-        before = d.count()
         d = stage(spark, d, sf).cache()
-        assert name == "mixing" or (d.columns == columns and d.count() <= before)
-    assert d.count() > 0
+        assert name == "mixing" or d.columns == columns
+        after = d.collect()
+        rows[name], before = (before, after), after
+    ids = lambda rs: sorted(r.doc_id for r in rs)
+
+    before, after = rows["quality"]
+    (_, labels), model = seen[quality]
+    learnt = [r.doc_id for r in labels.collect()]
+    assert learnt and all(zlib.crc32(str(i).encode()) % 5 for i in learnt)
+    assert ids(after) == sorted(r.doc_id for r in before if model.scores([r.text])[0] >= 0.3)
+    for name, want in (("near_copies", plain_kept), ("decontamination", lambda rs: plain_clean(rs, items))):
+        before, after = rows[name]
+        assert ids(after) == sorted(want(before)), name
+        assert set(after) <= set(before) and len(after) < len(before), name
+
+    before, after = rows["personal_data"]
+    texts, n_spans = {r.doc_id: r for r in after}, 0
+    assert ids(before) == ids(after)
+    for r in before:
+        t, every = r.text or "", pii.spans_of(r.text, seen[pii][1])[1]
+        assert set(plain_spans(t)) <= set(every)
+        n_spans += len(every)
+        gone = {i for s, _, e in every for i in range(s, e)}
+        rest = "".join(c for i, c in enumerate(t) if i not in gone)
+        new = texts[r.doc_id]
+        assert re.sub(r"\[(email|ip|card|phone)\]", "", new.text or "") == rest and len(re.findall(r"\[(?:email|ip|card|phone)\]", new.text or "")) <= len(every)
+        assert (new.text is None) == (r.text is None) and new.n_chars == (None if r.text is None else len(new.text)) and (new.lang, new.source) == (r.lang, r.source)
+    assert n_spans > 0
+
+    before, after = rows["mixing"]
+    domain = lambda r: f"d{int(m[0]) % 4 if (m := re.search('[0-9]+$', r.source or '')) else 0}"
+    check_mix([(r.doc_id, (domain(r), r.lang, r.source), len((r.text or "").split())) for r in before], [(r.doc_id, (r.domain, r.lang, r.source), r.epoch, r.n_tokens) for r in after], Q.WEIGHTS, 0.5, 3)
     empty = Q.table(spark, sf, "documents").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0
