@@ -41,8 +41,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", by_quality), ("near_copies", without_copies), ("decontamination", decontaminated), ("personal_data", masked), ("mixing", mixed)]
 
-#: The classifier, the components and the field's messages have no SQL. Tests hold some operators behind the stages against
-#: brute force; of the stages themselves they only check columns, that rows do not grow in number, and empty tables.
+#: The classifier, the components and the field's messages have no SQL. A test recomputes the rows of each stage on a small
+#: table: near copies pair by pair, windows one by one, masked texts, and budgets and prefixes of the mix; of the classifier,
+#: that its labels are outside the held-out fold and that the stage's decisions are those of its scores.
 ORACLE_SQL = None
 
 
