@@ -146,31 +146,26 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         grams, at, ends = _grams(texts["text"].tolist(), order)
         keys, _ = _distinct(grams, at)
         counts = np.concatenate([_unpack(b, np.uint64) for b in got.sort_values("ranges")["counts"]]) if len(got) else np.zeros(0, np.uint64)
-        places = [np.searchsorted(keys, g) if len(keys) else g.astype(np.int64) for g in grams]
-        rows = []
-        for i, (a, b) in zip(texts["doc_id"], zip(ends[:-1], ends[1:])):
-            n = int(b - a)
-            if not n:
-                rows.append((i, 0, 0, 0.0, None))
-                continue
-            others, seen = words - n, []
-            for o in range(order):
-                f = np.zeros(n, np.int64)
-                if n > o:
-                    own, inv, tf = np.unique(places[o][a + o : b], return_inverse=True, return_counts=True)
-                    f[o:] = (counts[own].astype(np.int64) - tf)[inv]
-                seen.append(f)
-            p = np.where(seen[0] > 0, seen[0] / max(others, 1), 1.0 / (others + 1))
-            p, back = p * alpha ** np.minimum(np.arange(n), order - 1), np.arange(n) > 0
-            for o in range(1, order):
-                context = np.concatenate([np.ones(o), seen[o - 1][o - 1 : n - 1]]) if n > o else np.ones(n)
-                ok = seen[o] > 0
-                p = np.where(ok, seen[o] / np.maximum(context[:n], 1) * alpha ** (np.minimum(np.arange(n), order - 1) - o), p)
-                if o == order - 1:
-                    back = back & ~ok
-            s = float(np.log(p).sum())
-            rows.append((i, n, int(back.sum()), s, s / n))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_backoff", "log_score", "mean_log_score"])
+        n = np.diff(ends)
+        doc, seen = np.repeat(np.arange(len(n)), n), []
+        for o in range(order):
+            f, at_o = np.zeros(len(doc), np.int64), at >= o
+            place = np.searchsorted(keys, grams[o][at_o])
+            _, of, tf = np.unique(doc[at_o] * len(keys) + place, return_inverse=True, return_counts=True)
+            f[at_o] = counts[place].astype(np.int64) - tf[of]
+            seen.append(f)
+        others, most = words - n[doc], np.minimum(at, order - 1)
+        p = np.where(seen[0] > 0, seen[0] / np.maximum(others, 1), 1.0 / (others + 1)) * alpha**most
+        for o in range(1, order):
+            ok = np.flatnonzero(seen[o] > 0)  # these have o words before them, and their context is the n-gram at the last
+            p[ok] = seen[o][ok] / np.maximum(seen[o - 1][ok - 1], 1) * alpha ** (most[ok] - o)
+        some = n > 0
+        first, back, total = ends[:-1][some], np.zeros(len(n), np.int64), np.zeros(len(n))
+        if len(first):
+            back[some] = np.add.reduceat((at > 0) & (seen[-1] == 0), first, dtype=np.int64)
+            total[some] = np.add.reduceat(np.log(p), first)
+        mean = np.where(some, total / np.maximum(n, 1), np.nan)
+        return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": n, "n_backoff": back, "log_score": total, "mean_log_score": mean})
 
     out = d.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return out.applyInPandas(score, "doc_id long, n_tokens long, n_backoff long, log_score double, mean_log_score double")
