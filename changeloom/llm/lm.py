@@ -144,13 +144,14 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
 
     def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         grams, at, ends = _grams(texts["text"].tolist(), order)
-        keys, _ = _distinct(grams, at)
+        sizes = [int((at >= o).sum()) for o in range(order)]
+        keys, places = np.unique(np.concatenate([g[at >= o] for o, g in enumerate(grams)]), return_inverse=True)
+        places = np.split(places, np.cumsum(sizes)[:-1])
         counts = np.concatenate([_unpack(b, np.uint64) for b in got.sort_values("ranges")["counts"]]) if len(got) else np.zeros(0, np.uint64)
         n = np.diff(ends)
         doc, seen = np.repeat(np.arange(len(n)), n), []
         for o in range(order):
-            f, at_o = np.zeros(len(doc), np.int64), at >= o
-            place = np.searchsorted(keys, grams[o][at_o])
+            f, at_o, place = np.zeros(len(doc), np.int64), at >= o, places[o]
             _, of, tf = np.unique(doc[at_o] * len(keys) + place, return_inverse=True, return_counts=True)
             f[at_o] = counts[place].astype(np.int64) - tf[of]
             seen.append(f)
