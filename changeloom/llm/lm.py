@@ -1,6 +1,7 @@
 """Stupid-backoff language-model scores of every document, computed relationally.
 
-The corpus is cut into chunks of documents of bounded text. N-grams are exploded and counted within a chunk; the chunks'
+Each scan task cuts its rows into chunks of bounded text, which are stored compressed in the shared folder, so that the
+texts of a chunk stay the same whatever is computed anew. N-grams are exploded and counted within a chunk; the chunks'
 counts are summed into count tables partitioned by the n-grams' hash, which are joined back to the chunks' n-grams and
 summed per document. Rows between the steps are sorted, delta-coded blocks of n-grams, as single rows would take several
 times the input's disk. A chunk sends a block to each range. Beyond FLAT chunks, whose blocks would be too many and too
@@ -16,15 +17,19 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, n_words
+from .common import mix64, stored
 from .textops import word_hashes
 
 #: Bytes of text of a chunk, and of the text whose n-grams a hash range holds.
 CHUNK = 8 << 20
+#: Rows of a chunk at most.
+ROWS = 100_000
 #: Chunks up to which each sends a block to each range. Two levels write the n-grams about twice.
 FLAT = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -40,6 +45,37 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def _chunks(batches):
+    """Rows (doc_id, text) as chunks of about CHUNK bytes and ROWS rows at most; a longer text is in a chunk of its own.
+
+    A chunk is its number (the task's, then its own), its words, its bytes and a compressed stream of its rows.
+    """
+    first, number, held, size, rows, words = TaskContext.get().partitionId() << 32, 0, [], 0, 0, 0
+
+    def closed():
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+            w.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_pylist([{"chunk": first + number, "n_words": words, "n_bytes": size, "docs": out.getvalue().to_pybytes()}])
+
+    for batch in batches:
+        start = 0
+        for i, text in enumerate(batch.column("text")):
+            b = text.as_py().encode("utf-8", "surrogatepass")
+            if rows and (size + len(b) > CHUNK or rows == ROWS):
+                held.append(batch.slice(start, i - start))
+                yield closed()
+                start, number, held, size, rows, words = i, number + 1, [], 0, 0, 0
+            size, rows, words = size + len(b), rows + 1, words + len(b.split())
+        held.append(batch.slice(start))
+    if rows:
+        yield closed()
+
+
+def _docs(chunk: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(chunk).read_all().to_pandas()
+
+
 def _grams(texts, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each order the hash of the n-gram that ends at each word; the words' positions in their text; offsets."""
     h, ends = word_hashes(texts)
@@ -75,14 +111,14 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
     order that was given up; f(word) / N; and 1 / (N + 1) for a word seen nowhere else. N counts the other
     documents' words. n_backoff counts the words, but a text's first, whose longest n-gram (of ``order`` words) is seen
     nowhere else or does not fit before them. Null or empty texts have 0 tokens, a log_score of 0 and a null mean.
-    Repeated rows are separate documents; those equal in doc_id and text share a chunk. Other columns are ignored; an
+    Repeated rows are separate documents. Other columns are ignored; an
     empty table gives no rows.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total, n_rows = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    parts = max(1, math.ceil(total / CHUNK), math.ceil(n_rows / 100_000))
-    wide = 1 if parts <= FLAT else spread(parts)
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    d = stored(d.mapInArrow(_chunks, "chunk long, n_words long, n_bytes long, docs binary"), "chunks")
+    total, words, chunks = d.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_bytes", "n_words")), F.count("*")).first()
+    parts = max(1, math.ceil(total / CHUNK))
+    wide = 1 if max(parts, chunks) <= FLAT else spread(max(parts, chunks))
 
     def cut(keys: np.ndarray, counts: np.ndarray, by: int):
         """(number, keys, counts) of the runs of ranges, or of groups of ``by`` ranges, that sorted keys fall in."""
@@ -107,11 +143,13 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         *head, k, c = head_and_arrays
         return (*head, *packed(k, c), 4 if c.max() < 1 << 32 else 8)
 
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, at, _ = _grams(pdf["text"].tolist(), order)
-        keys, n = _distinct(grams, at)
-        chunk = int(pdf["chunk"].iloc[0])
-        return pd.DataFrame([row(chunk // wide, g, chunk, k, c) for g, k, c in cut(keys, n, wide)], columns=["chunks", "ranges", "chunk", "grams", "n", "width"])
+    def ask(frames):
+        for pdf in frames:
+            for chunk, docs in zip(pdf["chunk"], pdf["docs"]):
+                grams, at, _ = _grams(_docs(docs)["text"].tolist(), order)
+                keys, n = _distinct(grams, at)
+                group = int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(wide))
+                yield pd.DataFrame([row(group if wide > 1 else chunk, g, chunk, k, c) for g, k, c in cut(keys, n, wide)], columns=["chunks", "ranges", "chunk", "grams", "n", "width"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         _, table, n = opened(pdf)
@@ -131,7 +169,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         return pd.DataFrame({"chunk": asked["chunk"], "ranges": asked["ranges"], "counts": [_pack(n[np.searchsorted(table, k)]) for k in keys]})
 
     block = "grams binary, n binary, width int"
-    asked = d.groupBy("chunk").applyInPandas(ask, f"chunks long, ranges long, chunk long, {block}")
+    asked = d.select("chunk", "docs").mapInPandas(ask, f"chunks long, ranges long, chunk long, {block}")
     answered = "chunks long, ranges long, part long, counts binary"
     if wide == 1:
         table = asked.withColumn("part", F.col("ranges")).groupBy("part").applyInPandas(answer, answered)
@@ -140,9 +178,9 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         merged = asked.groupBy("chunks", "ranges").applyInPandas(merge, f"part long, chunks long, ranges long, {block}")
         table = merged.groupBy("part").applyInPandas(answer, answered)
         answers = asked.groupBy("chunks", "ranges").cogroup(table.groupBy("chunks", "ranges")).applyInPandas(divide, "chunk long, ranges long, counts binary")
-    words = d.select(F.sum(n_words(F.col("text"))).alias("n")).first()[0] or 0
 
-    def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def score(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        texts = _docs(chunk["docs"].iloc[0])
         grams, at, ends = _grams(texts["text"].tolist(), order)
         sizes = [int((at >= o).sum()) for o in range(order)]
         keys, places = np.unique(np.concatenate([g[at >= o] for o, g in enumerate(grams)]), return_inverse=True)
@@ -168,5 +206,5 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         mean = np.where(some, total / np.maximum(n, 1), np.nan)
         return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": n, "n_backoff": back, "log_score": total, "mean_log_score": mean})
 
-    out = d.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    out = d.select("chunk", "docs").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return out.applyInPandas(score, "doc_id long, n_tokens long, n_backoff long, log_score double, mean_log_score double")
