@@ -206,5 +206,6 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
         mean = np.where(some, total / np.maximum(n, 1), np.nan)
         return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": n, "n_backoff": back, "log_score": total, "mean_log_score": mean})
 
+    answers = stored(answers, "answers")  # the blocks' shuffle files go before texts move
     out = d.select("chunk", "docs").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return out.applyInPandas(score, "doc_id long, n_tokens long, n_backoff long, log_score double, mean_log_score double")
