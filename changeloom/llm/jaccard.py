@@ -2,8 +2,10 @@
 
 Shingles are hashed into groups and a document is the point of its group counts: a sparse vector of GROUPS groups, and
 its folds into fewer groups. Two sets of similarity j differ in at most D = (|A| + |B|)(1 - j) / (1 + j) shingles, so
-their points are at most D apart (L1). The tree's upper level packs points by a size band and by the sub-vectors of D + 2
-blocks of groups: two of the blocks at least have equal counts, so points that can be within reach meet in a leaf.
+their points are at most D apart (L1). The tree's upper level packs points by a size band and by the sub-vectors of
+D + 1 + E blocks of groups: E + 1 of the blocks at least have equal counts, so points that can be within reach meet in a
+leaf. A point with at most E empty blocks needs no leaf of an empty one, which all such points would share, whatever their
+texts; the few points with more are also dealt into blocks anew, up to DEALS times.
 Below it, a leaf's points are packed into boxes (sorted by size and counts) with the maxima of their coordinates, and
 the overlap of two boxes or points is bounded by the summed minima of their coordinates. All candidates come from
 this search; those that survive finer points too are verified on the exact shingle sets, from the whole texts.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,14 @@ from pyspark.sql import functions as F
 from .common import components, drop_stored, mix64, sized, stored
 from .textops import pieces, shingle_sets
 
-#: Groups of the indexed point, and of its fold that boxes are made of.
-GROUPS, COARSE = 1 << 20, 256
+#: Groups of the indexed point (many more than a corpus has shingles, or small blocks of unlike texts would be equal), and
+#: of its fold that boxes are made of.
+GROUPS, COARSE = 1 << 40, 256
+#: Times that a point with many empty blocks is dealt into blocks; in the last, its empty ones are leaves too.
+DEALS = 4
+#: Parts of the keys: one moves at a time.
+PARTS = 4
+KEYS = [f"keys{p}" for p in range(PARTS)]
 BAND, TILE, LEAF = 1.5, 256, 16
 #: Shingles for each group of the fold that all pairs of open leaves are bounded by before their sets meet.
 POINT = 2
@@ -52,10 +61,25 @@ def required(a, b, num: int, den: int):
     return -(-(num * (a + b)) // (num + den))
 
 
+@lru_cache(None)
+def _blocks(low: int, high: int, num: int, den: int) -> tuple[int, int, int]:
+    """For a band of these sizes the number of blocks, how many of them may be empty (E; most points have no more), and the
+    deals. Where the similarity asks for as many blocks as there are shingles, most are empty, and one deal has to do."""
+    reach = (high + high * den // num) * (den - num) // (den + num)
+    for spread in (2, 0):
+        for spare in range(1, max(1, reach) + 1):
+            k = reach + 1 + spare
+            empty = (1 - 1 / k) ** low
+            if k * empty + spread * math.sqrt(k * empty * (1 - empty)) <= spare:
+                return k, spare, DEALS
+    return reach + 2, 1, 1
+
+
 def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Leaf keys of a set: hashes of its point's block sub-vectors, for its size band and, near the border, the one below.
 
-    A sub-vector's hash sums a hash of each group as often as the group counts, so equal counts have equal hashes.
+    A sub-vector's hash sums a hash of each group as often as the group counts, so equal counts have equal hashes. Of two
+    points within reach, the one that needs fewer deals has a filled block in its last one that the other has too.
     """
     n, keys = len(s), []
     own = _band(n)
@@ -64,23 +88,29 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     if least < own[1]:
         bands.append(_band(own[1] - 1))
     group = s & np.uint64(GROUPS - 1)
-    mixed, weight = mix64(group ^ np.uint64(0x5851F42D4C957F2D)), mix64(group + np.uint64(1))
-    for t, _, high in bands:
-        other = high * den // num
-        k = (high + other) - 2 * required(high, other, num, den) + 2
-        k = max(k, (high + other) * (den - num) // (den + num) + 2)
-        block = (mixed % np.uint64(k)).astype(np.int64)
-        sums, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-        np.add.at(sums, block, weight)
-        filled[block] = True
-        if k - filled.sum() < 2:  # of two equal blocks one is filled
-            ids = np.flatnonzero(filled)
-        else:
-            ids = np.arange(k)
-        keys.append(mix64(sums[ids] + mix64(np.uint64(t << 32) + ids.astype(np.uint64))))
+    weight = mix64(group + np.uint64(1))
+    for t, low, high in bands:
+        k, spare, deals = _blocks(low, high, num, den)
+        for deal in range(deals):
+            block = (mix64(group ^ np.uint64(0x5851F42D4C957F2D + deal)) % np.uint64(k)).astype(np.int64)
+            sums = np.zeros(k, np.uint64)
+            np.add.at(sums, block, weight)
+            ids = np.flatnonzero(np.bincount(block, minlength=k))
+            enough = k - len(ids) <= spare
+            if not enough and deal == deals - 1:
+                ids = np.arange(k)
+            keys.append(mix64(sums[ids] + mix64(np.uint64((t << 40) + (deal << 32)) + ids.astype(np.uint64))))
+            if enough:
+                break
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
+def in_parts(keys: np.ndarray) -> list[np.ndarray]:
+    """Keys by PARTS ranges of their lowest bits."""
+    part = keys & (PARTS - 1)
+    return [keys[part == p] for p in range(PARTS)]
+
+
 def group_counts(s: np.ndarray, per_group: float | None) -> bytes:
     """The point of a set: counts of a power of two of groups, about one for each ``per_group`` shingles (None: COARSE).
 
@@ -110,10 +140,10 @@ def _sketch(size: int, num: int, den: int, keyed: bool):
                 for i, s in zip(ids[a:b], shingle_sets(texts[a:b], size)):
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     if keyed:
-                        rows.append((i, len(s), d, group_counts(s, POINT), group_counts(s, None), block_keys(s, num, den) if len(s) else np.zeros(0, np.int64)))
+                        rows.append((i, len(s), d, group_counts(s, POINT), group_counts(s, None), *in_parts(block_keys(s, num, den) if len(s) else np.zeros(0, np.int64))))
                     else:
                         rows.append((i, d, s.tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", "box", "keys"] if keyed else ["doc_id", "digest", "shingles"])
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "counts", "box", *KEYS] if keyed else ["doc_id", "digest", "shingles"])
 
     return run
 
@@ -250,6 +280,21 @@ def _groups(rows: pd.DataFrame, num: int, den: int, every: bool):
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bound": bound}).drop_duplicates()
 
 
+def _recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (key, doc_id) sorted by key, those whose key is another row's too."""
+    last, told = None, True
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        k = pdf["key"].to_numpy()
+        as_before = np.concatenate([[last is not None and last["key"].iloc[0] == k[0]], k[1:] == k[:-1]])
+        keep = as_before | np.append(as_before[1:], False)
+        if as_before[0] and not told:
+            yield last
+        yield pdf[keep]
+        last, told = pdf.iloc[-1:], keep[-1]
+
+
 def _searched(rows: DataFrame, boxes: DataFrame, num: int, den: int, every: bool, seed: int) -> DataFrame:
     """Candidates (a, b, bound) from rows (key, m, doc_id, component) of open leaves, in tiles of about TILE points.
 
@@ -283,25 +328,30 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     repeated rows of one doc_id are one document and get equal rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, counts binary, box binary, keys array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, counts binary, box binary, " + ", ".join(f"{k} array<long>" for k in KEYS)
     null_ids = docs.where("doc_id is null")
     sketches = stored(docs.where("doc_id is not null").mapInPandas(_sketch(size, num, den, True), schema).withColumn("row", F.monotonically_increasing_id()), "points")
     reps = stored(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.row"), "reps")
 
     # one row of each distinct set; of a doc_id that leads several (rows with other texts), the least
     chosen = stored(reps.groupBy("rep").agg(F.min(F.struct("digest", "row")).alias("r")).select("r.row"), "chosen")
-    base = stored(sketches.join(sized(chosen), "row", "left_semi").drop("row"), "base")
+    base = stored(sketches.join(sized(chosen), "row", "left_semi").drop("row", *KEYS), "base")
     points = stored(sketches.select("doc_id", "n_shingles", "digest"), "points")
     reps = reps.select("digest", "rep")
+    # a set has a key once; keys move part by part, once each, and only those of several sets are kept
+    parts = []
+    for k in KEYS:
+        own = sketches.select("row", "doc_id", k).join(sized(chosen), "row", "left_semi").select(F.explode(k).alias("key"), "doc_id")
+        own = own.repartition(F.col("key")).sortWithinPartitions("key")
+        parts.append(stored(own.mapInPandas(_recurring, "key long, doc_id long"), "keys"))
     drop_stored(sketches)
-    own = stored(base.select("doc_id", F.explode("keys").alias("key")), "keys")
-    base = base.drop("keys")
-    # a set has a key once; leaves with the same members are one
-    leaf = own.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s")).where("m > 1")
+    own = reduce(DataFrame.unionByName, parts)
+    # leaves with the same members are one
+    leaf = own.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s"))
     leaf = stored(leaf.groupBy("m", "h", "s").agg(F.min("key").alias("key")).select("key", "m"), "leaves")
     members = stored(own.join(sized(leaf), "key").select("key", "m", "doc_id"), "members")
-    drop_stored(own)
-    drop_stored(leaf)
+    for old in (*parts, leaf, chosen):
+        drop_stored(old)
 
     boxes = stored(base.join(sized(stored(members.select("doc_id").distinct(), "ids")), "doc_id", "left_semi").select("doc_id", "n_shingles", "box"), "boxes")
 
@@ -321,6 +371,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             comp = stored(components(links), "components")
+    for old in (base, boxes, members):
+        drop_stored(old)
 
     out = points.select("doc_id", "n_shingles", "digest").join(sized(reps), "digest", "left").select("doc_id", "n_shingles", "rep")
     if comp is not None:

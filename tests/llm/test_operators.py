@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,32 @@ def test_jaccard_edges(spark):
     assert kept == [0, 1, 2, 3, 4, 5, 7, 9]
 
 
+@pytest.mark.parametrize("num", [90, 80, 50])
+def test_jaccard_keys_of_sets_within_reach_meet(num):
+    rng = np.random.default_rng(num)
+    for n in [*range(1, 60), *rng.integers(60, 900, 120)]:
+        m = int(rng.integers(n, min(n * 100 // num, n * 149 // 100) + 1))
+        both = min(n, jaccard.required(n, m, num, 100))
+        h = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        a, b = (jaccard.block_keys(np.unique(x), num, 100) for x in (h[:n], h[n - both :]))
+        assert len(np.intersect1d(a, b)), (n, m)
+
+
+def test_jaccard_unlike_texts_share_no_leaves():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(80, 500)), dtype=np.uint64)) for _ in range(3000)]
+    met = np.unique(np.concatenate([jaccard.block_keys(s, 80, 100) for s in sets]), return_counts=True)[1]
+    assert (met * (met - 1) // 2).sum() < 30
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 50])
+def test_jaccard_recurring_keys(batch):
+    keys = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    rows = pd.DataFrame({"key": keys, "doc_id": range(10)})
+    got = pd.concat(jaccard._recurring(rows[i : i + batch] for i in range(0, 10, batch)))
+    assert got.doc_id.tolist() == [1, 2, 4, 5, 6, 8, 9] and all(keys[d] == k for k, d in zip(got.key, got.doc_id))
+
+
 # decontamination
 
 def test_decontamination_edges(spark):
