@@ -44,6 +44,8 @@ BAND, TILE, LEAF = 1.5, 256, 16
 POINT = 2
 #: Times that the search gives each point one other before open leaves are searched for all pairs.
 ROUNDS = 2
+#: Smallest open leaves that a point brings along, for a pair to be told in the first leaf that it shares only.
+FIRST = 16
 
 
 def _band(n: int) -> tuple[int, int, int]:
@@ -259,6 +261,19 @@ def _in_leaves(num: int, den: int, every: bool):
     return run
 
 
+def _shared(first: list[np.ndarray], key: int) -> np.ndarray:
+    """Bit rows of points: of the leaves before ``key`` in ``first`` that several points have, those that a point has."""
+    at = np.repeat(np.arange(len(first)), [len(f) for f in first])
+    keys = np.concatenate(first)
+    at, keys = at[keys < key], keys[keys < key]
+    _, no, times = np.unique(keys, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    several = times[no] > 1
+    out = np.zeros((len(first), int((times > 1).sum())), bool)
+    out[at[several], column[no[several]]] = True
+    return np.packbits(out, axis=1)
+
+
 def _groups(rows: pd.DataFrame, num: int, den: int, every: bool):
     if not len(rows):
         return
@@ -271,9 +286,12 @@ def _groups(rows: pd.DataFrame, num: int, den: int, every: bool):
         if (comp[s:e] == comp[s]).all():
             continue
         counts = np.stack(unpacked(packed[s:e]))
+        if every:  # a pair of one tile is told in the tile's meeting with itself
+            before, t, alone = _shared(rows["first"].iloc[s:e].tolist(), k[s, 0]), rows["t"].to_numpy()[s:e], k[s, 1] == k[s, 2]
         for i, j, bound in _rtree_pairs(n[s:e], counts, num, den) if every else [_nearest(n[s:e], counts, comp[s:e], num, den)]:
+            told = ((t[i] == t[j]) & (not alone)) | (before[i] & before[j]).any(axis=1) if every else np.zeros(len(i), bool)
             i, j = i + s, j + s
-            ok = comp[i] != comp[j]
+            ok = (comp[i] != comp[j]) & ~told
             found.append((ids[i[ok]], ids[j[ok]], bound[ok] / (n[i] + n[j])[ok]))
     if found:
         a, b, bound = (np.concatenate([f[x] for f in found]) for x in (0, 1, 2))
@@ -298,15 +316,19 @@ def _recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _searched(rows: DataFrame, boxes: DataFrame, num: int, den: int, every: bool, seed: int) -> DataFrame:
     """Candidates (a, b, bound) from rows (key, m, doc_id, component) of open leaves, in tiles of about TILE points.
 
-    For all pairs each tile meets each other; else a point is searched for in its own tile, which a new seed changes.
+    For all pairs each tile meets each other, and a pair is left to an earlier leaf that both points name among their
+    FIRST ones; else a point is searched for in its own tile, which a new seed changes.
     """
+    if every:
+        first = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("first"))
+        boxes = stored(boxes.join(first, "doc_id"), "boxes")
     r = rows.withColumn("nt", F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int"))
     r = r.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("nt")).cast("int"))
     r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))) if every else r.withColumn("o", F.col("t"))
-    r = r.select("key", "doc_id", "component", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
+    r = r.select("key", "doc_id", "component", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
     r = r.join(sized(boxes), "doc_id")
     r = r.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb", "doc_id")
-    r = r.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "box")
+    r = r.select("key", "ta", "tb", "doc_id", "component", "n_shingles", "box", *(["t", "first"] if every else []))
     return r.mapInPandas(_in_leaves(num, den, every), "a long, b long, bound double")
 
 

@@ -295,6 +295,21 @@ def test_jaccard_recurring_keys(batch):
     assert got.doc_id.tolist() == [1, 2, 4, 5, 6, 8, 9] and all(keys[d] == k for k, d in zip(got.key, got.doc_id))
 
 
+@pytest.mark.parametrize("tile", [256, 5])
+def test_jaccard_pairs_are_told_once(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.05, rng.integers(0, 1 << 63, 300, dtype=np.uint64), base)) for _ in range(24)]
+    boxes = spark.createDataFrame([(i, len(x), bytearray(jaccard.group_counts(x, None))) for i, x in enumerate(sets)], "doc_id long, n_shingles long, box binary")
+    keys = pd.DataFrame([(int(k), i, i) for i, x in enumerate(sets) for k in jaccard.block_keys(x, 80, 100)], columns=["key", "doc_id", "component"])
+    keys["m"] = keys.groupby("key").doc_id.transform("count")
+    rows = spark.createDataFrame(keys[keys.m > 1], "key long, doc_id long, component long, m long")
+    got = [(r.a, r.b) for r in jaccard._searched(rows, boxes, 80, 100, True, 2).collect()]
+    linked = {(a, b) for a, b in itertools.combinations(range(24), 2) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - c)}
+    assert len(linked) > 100 and linked <= set(got) and len(got) < 1.5 * len(set(got))
+
+
 # decontamination
 
 def test_decontamination_edges(spark):
