@@ -13,7 +13,9 @@ this search; those that survive finer points too are verified on the exact shing
 Equal sets are one point, and leaves with the same members are one. A point of a group of copies need not meet all
 others: in each of ROUNDS rounds the search gives, for every point, the nearest one before it in its leaf that is of
 another component and within the bound. Leaves that links make whole are done. What is open then is searched for all
-pairs across components, in tiles of bounded size.
+pairs across components, in tiles of bounded size. Crowded leaves are split before: a point goes to a node for each of its
+rarest groups (here of one shingle each), for as many that two points within reach have one of them in common. Points of
+a node's largest component meet the others only, not each other.
 """
 
 from __future__ import annotations
@@ -44,18 +46,24 @@ BAND, TILE, LEAF = 1.5, 256, 16
 POINT = 2
 #: Times that the search gives each point one other before open leaves are searched for all pairs.
 ROUNDS = 2
+#: Tiles of an open leaf that is searched as it is; larger ones are split.
+CROWD = 2
+#: Shingles, in about, of the sample that tells which groups are frequent. It decides on costs only, not on what is found.
+SAMPLE = 200_000
+#: Ratio of the sizes of a class; a frequent group has a node for each two classes.
+CLASS = 1.05
 #: Smallest open leaves that a point brings along, for a pair to be told in the first leaf that it shares only.
 FIRST = 16
 
 
-def _band(n: int) -> tuple[int, int, int]:
+def _band(n: int, ratio: float = BAND) -> tuple[int, int, int]:
     """The band of a size and its smallest and largest size."""
-    t = int(math.log(n) / math.log(BAND) + 1e-12)
-    while math.ceil(BAND ** (t + 1)) <= n:
+    t = int(math.log(n) / math.log(ratio) + 1e-12)
+    while math.ceil(ratio ** (t + 1)) <= n:
         t += 1
-    while math.ceil(BAND**t) > n:
+    while math.ceil(ratio**t) > n:
         t -= 1
-    return t, math.ceil(BAND**t), math.ceil(BAND ** (t + 1)) - 1
+    return t, math.ceil(ratio**t), math.ceil(ratio ** (t + 1)) - 1
 
 
 def required(a, b, num: int, den: int):
@@ -113,6 +121,37 @@ def in_parts(keys: np.ndarray) -> list[np.ndarray]:
     return [keys[part == p] for p in range(PARTS)]
 
 
+def node_keys(s: np.ndarray, groups: np.ndarray, times: np.ndarray, often: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the nodes that a set of a crowded leaf goes to, and its side there: 0 in nodes where all points meet, else 1
+    for the class of smaller sizes and 2 for that of larger ones, which meet each other only.
+
+    ``groups`` (sorted) occur ``times`` in a sample, others less. Two sets that overlap in t groups have one in common
+    among their size - t + 1 first ones of any order; rare ones come first. One that occurs more than ``often`` has a node
+    for each two classes of sizes, as t is larger for larger sets and leaves it to fewer of them.
+    """
+    n = len(s)
+    f = np.zeros(n, np.int64)
+    if len(groups):
+        at = np.minimum(np.searchsorted(groups, s), len(groups) - 1)
+        f = np.where(groups[at] == s, times[at], 0)
+    order = np.lexsort((s, f))
+    s, f = mix64(s[order]), f[order]
+    least, most = -(-num * n // den), den * n // num  # sizes of the sets within reach
+    first = s[: n - int(required(n, least, num, den)) + 1]
+    rare = first[f[: len(first)] <= often]
+    keys, sides = [rare & ~np.uint64(1)], [np.zeros(len(rare), np.int32)]
+    own, size = _band(n, CLASS)[0], least
+    while size <= most and len(rare) < len(first):
+        w, _, high = _band(size, CLASS)
+        p = n - int(required(n, size, num, den)) + 1
+        common = s[:p][f[:p] > often]
+        two = np.uint64((min(w, own) << 32) + max(w, own) + 1)
+        keys.append((mix64(common + mix64(two[None])) & ~np.uint64(1)) | np.uint64(w != own))
+        sides.append(np.full(len(common), 0 if w == own else 1 if own < w else 2, np.int32))
+        size = high + 1
+    return np.concatenate(keys).view(np.int64), np.concatenate(sides)
+
+
 def group_counts(s: np.ndarray, per_group: float | None) -> bytes:
     """The point of a set: counts of a power of two of groups, about one for each ``per_group`` shingles (None: COARSE).
 
@@ -313,18 +352,41 @@ def _recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, told = pdf.iloc[-1:], keep[-1]
 
 
+def _meetings(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (key, m, doc_id, component, side) with their tile t, a row for each tile o that it meets.
+
+    A leaf of more than TILE points has two parts: its largest component and the rest, or the larger and the smaller sets.
+    Tiles of the first part meet those of the second only; the latter also meet each other, unless the sides differ.
+    """
+    many = rows.where(F.col("m") > TILE)
+    of_one = many.where("side = 0").groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("x"))
+    larger = many.where("side = 2").groupBy("key").agg(F.count("*").alias("n")).select("key", "n", F.lit(None).cast("long").alias("main"))
+    parts = stored(of_one.select("key", "x.n", F.col("x.component").alias("main")).unionByName(larger), "parts")
+    r = rows.join(sized(parts), "key", "left").where("n is null or n < m")
+    na, nb = (F.ceil(c / TILE).cast("int") for c in (F.col("n"), F.col("m") - F.col("n")))
+    whole, in_first = F.col("n").isNull(), (F.col("side") == 2) | (F.col("side") == 0) & (F.col("component") == F.col("main"))
+    h = F.xxhash64("doc_id", F.lit(seed))
+    r = r.withColumn("t", F.when(whole, 0).when(in_first, nb + F.pmod(h, na)).otherwise(F.pmod(h, nb)).cast("int"))
+    start = F.when(whole | in_first | (F.col("side") == 0), 0).otherwise(nb)
+    end = F.when(whole, 0).when(in_first, nb - 1).otherwise(na + nb - 1)
+    return r.withColumn("o", F.explode(F.sequence(start, end)))
+
+
 def _searched(rows: DataFrame, boxes: DataFrame, num: int, den: int, every: bool, seed: int) -> DataFrame:
     """Candidates (a, b, bound) from rows (key, m, doc_id, component) of open leaves, in tiles of about TILE points.
 
-    For all pairs each tile meets each other, and a pair is left to an earlier leaf that both points name among their
-    FIRST ones; else a point is searched for in its own tile, which a new seed changes.
+    For all pairs the tiles meet that can hold a pair to tell (see ``_meetings``), and a pair is left to an earlier leaf that
+    both points name among their FIRST ones; else a point is searched for in its own tile, which a new seed changes.
     """
     if every:
-        first = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("first"))
-        boxes = stored(boxes.join(first, "doc_id"), "boxes")
-    r = rows.withColumn("nt", F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int"))
-    r = r.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("nt")).cast("int"))
-    r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))) if every else r.withColumn("o", F.col("t"))
+        rows = rows if "side" in rows.columns else rows.withColumn("side", F.lit(0))
+        first = rows.where("side = 0").groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("first"))
+        boxes = boxes.join(sized(stored(rows.select("doc_id").distinct(), "ids")), "doc_id", "left_semi").join(first, "doc_id", "left")
+        boxes = stored(boxes.withColumn("first", F.coalesce("first", F.array().cast("array<long>"))), "boxes")
+        r = _meetings(rows, seed)
+    else:
+        nt = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
+        r = rows.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed)), nt).cast("int")).withColumn("o", F.col("t"))
     r = r.select("key", "doc_id", "component", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
     r = r.join(sized(boxes), "doc_id")
     r = r.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb", "doc_id")
@@ -341,6 +403,52 @@ def _opened(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(sized(stored(ends, "ends")), "key").select("key", "m", "doc_id", "component")
 
 
+def _sets(frames: Iterator[pd.DataFrame], size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Pieces of (doc_id, shingle set) of those rows (doc_id, text, digest) whose set has the digest."""
+    for pdf in frames:
+        ids, texts, digests = pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["digest"].tolist()
+        for a, b in pieces(texts):
+            sets = zip(ids[a:b], digests[a:b], shingle_sets(texts[a:b], size))
+            yield [(i, s) for i, d, s in sets if xxhash.xxh3_128_digest(s.tobytes()) == bytes(d)]
+
+
+def _split(rows: DataFrame, docs: DataFrame, points: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """rows (key, m, doc_id, component) of open leaves with a side, the crowded leaves' replaced by those of open nodes.
+
+    All crowded leaves are split at once, so that a pair does not meet in each of them. ``points``: a row a document.
+    """
+    rows = rows.withColumn("side", F.lit(0))
+    ids = stored(rows.where(F.col("m") > CROWD * TILE).select("doc_id", "component").distinct(), "ids")
+    ids = stored(points.join(sized(ids), "doc_id").select("doc_id", "component", "digest", "n_shingles"), "ids")
+    total = ids.agg(F.sum("n_shingles")).first()[0]
+    if not total:
+        return rows
+    share = min(1.0, SAMPLE / total)
+    texts = docs.join(sized(ids.select("doc_id", "digest")), "doc_id").select("doc_id", "text", "digest")
+
+    def sample(frames):
+        for piece in _sets(frames, size):
+            yield pd.DataFrame({"shingles": [s[:SAMPLE].tobytes() for _, s in piece]})
+
+    def nodes(frames):
+        for piece in _sets(frames, size):
+            found = [node_keys(s, groups, times, often, num, den) for _, s in piece]
+            if found:
+                keys, sides = (np.concatenate([f[x] for f in found]) for x in (0, 1))
+                yield pd.DataFrame({"key": keys, "doc_id": np.repeat([i for i, _ in piece], [len(f[0]) for f in found]), "side": sides})
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = [np.frombuffer(r.shingles, np.uint64) for r in some.mapInPandas(sample, "shingles binary").collect()]
+    groups, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *some]), return_counts=True)
+    groups, times, often = groups[times > 1], times[times > 1], max(1.0, share * TILE)
+    own = texts.mapInPandas(nodes, "key long, doc_id long, side int").distinct()
+    own = stored(own.join(sized(ids.select("doc_id", "component")), "doc_id"), "nodes")
+    ends = own.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    ends = stored(ends.where("c0 < c1 and (s1 = 0 or s0 < s1)").select("key", "m"), "ends")
+    own = own.join(sized(ends), "key").select("key", "m", "doc_id", "component", "side")
+    return rows.where(F.col("m") <= CROWD * TILE).unionByName(own)
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -380,6 +488,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     comp, links, tried = None, None, None
     for seed in range(ROUNDS + 1):
         rows = _opened(members, comp)
+        if seed == ROUNDS:
+            rows = _split(rows, docs, base, size, num, den)
         two = _searched(rows, boxes, num, den, seed == ROUNDS, seed)
         # of a point's candidates the one with the greatest bound for the sizes; in the end, all
         two = two.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("x")).select("x.a", "b") if seed < ROUNDS else two.select("a", "b").distinct()

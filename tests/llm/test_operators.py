@@ -310,6 +310,52 @@ def test_jaccard_pairs_are_told_once(spark, tile, monkeypatch):
     assert len(linked) > 100 and linked <= set(got) and len(got) < 1.5 * len(set(got))
 
 
+@pytest.mark.parametrize("num", [90, 80, 50])
+def test_jaccard_nodes_of_sets_within_reach_meet(num):
+    rng = np.random.default_rng(num)
+    for n in [*range(1, 40), *rng.integers(40, 900, 80)]:
+        m = int(rng.integers(n, n * 100 // num + 1))
+        both = min(n, jaccard.required(n, m, num, 100))
+        h = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        groups = np.unique(h[rng.random(len(h)) < rng.random()])
+        times = rng.integers(2, 9, len(groups))
+        met = [{(k, s) for k, s in zip(*jaccard.node_keys(np.unique(x), groups, times, 4, num, 100))} for x in (h[:n], h[n - both :])]
+        assert any((k, {0: 0, 1: 2}.get(s)) in met[1] for k, s in met[0]), (n, m)
+
+
+def test_jaccard_large_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    search, in_leaves, made = jaccard._searched, jaccard._in_leaves, []
+
+    def count(frames):
+        for f in frames:
+            yield pd.DataFrame({"a": [len(f)], "b": [0], "bound": [0.0]})
+
+    def counted(rows, boxes, num, den, every, seed):
+        if every:
+            monkeypatch.setattr(jaccard, "_in_leaves", lambda *_: count)
+            made.append(search(rows, boxes, num, den, every, seed).agg(F.sum("a")).first()[0])
+            monkeypatch.setattr(jaccard, "_in_leaves", in_leaves)
+        return search(rows, boxes, num, den, every, seed)
+
+    monkeypatch.setattr(jaccard, "_searched", counted)
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(360):  # one edit links with most, three with few or none; some lack their start
+        w = [f"b{x}" for x in range(70)]
+        for j in rng.choice(70, 1 if i % 3 == 0 else 3, replace=False):
+            w[j] = f"e{i}x{j}" if i % 10 else f"e{j}"
+        texts.append(" ".join(w[int(rng.integers(0, 9)) * (i % 4 == 0) :]))
+    for n in (180, 360):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(spark, texts[:n]), 5, 80, 100).collect()}
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts[:n])]
+        root = np.arange(n)
+        links = [(a, b) for a, b in itertools.combinations(range(n), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        root = common.roots(*np.array(links).T, n)
+        assert [got[i] for i in range(n)] == root.tolist() and 40 < len(set(root)) < n - 40
+    assert made[1] < 3 * made[0], made
+
+
 # decontamination
 
 def test_decontamination_edges(spark):
