@@ -15,6 +15,20 @@ def read_changelog(spark: SparkSession, path: str, schema: T.StructType | None =
     return r.parquet(path)
 
 
+#: Changes of a log file, which one task puts in order.
+FILE_ROWS = 1_000_000
+
+
+def write_log(changes: DataFrame, path: str, seq: str = "seq", rows: int = FILE_ROWS) -> int:
+    """Writes changes as files that each hold about ``rows`` consecutive ones, in order; gives the number of files aimed at.
+
+    The changes are counted first: a task sorts one file's rows, however many files the log has.
+    """
+    n = max(1, -(-changes.count() // rows))
+    changes.repartitionByRange(n, seq).sortWithinPartitions(seq).write.parquet(path)
+    return n
+
+
 def stream_changelog(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
     """A stream over a folder that change-log files are added to; resumes from the query's checkpoint."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)

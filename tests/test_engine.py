@@ -481,3 +481,25 @@ def test_nulls_take_the_default(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     net = spark.createDataFrame([(1, "update", None), (3, "insert", None)], "k int, op string, v string")
     assert rows_of(A.apply_net(t, net, ["k"], null_as_default={"v": "d"})) == [(1, "d"), (2, "b"), (3, None)]
+
+
+def test_log_files_follow_the_rows(spark, sf, tmp_path, monkeypatch):
+    write = changelog.write_log
+    monkeypatch.setattr(changelog, "write_log", lambda c, path: write(c, path, rows=200))
+    monkeypatch.setattr(catalogue, "_work", lambda spark: str(tmp_path))
+    got = catalogue.stream_apply(spark, sf)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    files = [r.seqs for r in log.groupBy(F.input_file_name()).agg(F.sort_array(F.collect_list("seq")).alias("seqs")).collect()]
+    assert len(files) > 5 and max(map(len, files)) < 3 * 200  # three files before, of any length
+    ordered = sorted(files)
+    assert all(a[-1] < b[0] for a, b in zip(ordered, ordered[1:])) and sum(map(len, files)) == catalogue.changes(spark, sf).count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalogue.apply_net(spark, sf).collect()))
+
+
+def test_a_log_of_very_many_files_is_not_compacted_on_the_way(spark, sf, tmp_path, monkeypatch):
+    write = changelog.write_log
+    monkeypatch.setattr(changelog, "write_log", lambda c, path: write(c, path, rows=2))
+    monkeypatch.setattr(catalogue, "_work", lambda spark: str(tmp_path))
+    got = catalogue.stream_apply(spark, sf)
+    assert sum(f[0] == "v" for _, f, _ in SnapshotTable(spark, str(tmp_path / "target")).log()) == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalogue.apply_net(spark, sf).collect()))
