@@ -92,6 +92,19 @@ def apply_sequential(target: DataFrame, changes: DataFrame, keys: list[str], seq
     return j.withColumn("_row", row).where("_row is not null").select(*keys, "_row.*").select(*target.columns)
 
 
-def delete_keys(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """The target without the rows of whole keys in ``gone``."""
-    return target.join(gone.select(*keys).distinct(), keys, "left_anti")
+#: Rows of a target that one task puts in order.
+TASK_ROWS = 500_000
+
+
+def delete_keys(target: DataFrame, gone: DataFrame, keys: list[str], rows: int = TASK_ROWS) -> DataFrame:
+    """The target without the rows of whole keys in ``gone``.
+
+    The target is counted; one of more rows than ``rows`` for each core is dealt by key to tasks of about that many, so a
+    task's memory does not grow with it, whatever the session's number of shuffle partitions.
+    """
+    gone, n = gone.select(*keys).distinct(), -(-target.count() // rows)
+    if n <= target.sparkSession.sparkContext.defaultParallelism:
+        return target.join(gone, keys, "left_anti")
+    # an anti join would be pushed below the repartition, to the session's number of partitions
+    gone = gone.repartition(n, *keys).withColumn("_gone", F.lit(True))
+    return target.repartition(n, *keys).join(gone, keys, "left").where("_gone is null").select(*target.columns)

@@ -503,3 +503,15 @@ def test_a_log_of_very_many_files_is_not_compacted_on_the_way(spark, sf, tmp_pat
     got = catalogue.stream_apply(spark, sf)
     assert sum(f[0] == "v" for _, f, _ in SnapshotTable(spark, str(tmp_path / "target")).log()) == 1
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalogue.apply_net(spark, sf).collect()))
+
+
+def test_deleted_keys_are_dealt_by_the_rows_of_the_target(spark):
+    rows = [(i // 2 if i % 50 else None, i % 3, f"v{i}") for i in range(4000)]
+    target = spark.createDataFrame(rows, "a int, b int, v string")
+    gone = spark.createDataFrame([(i % 1000, i % 3) for i in range(3000)] + [(None, 0), (7, None)], "a int, b int")
+    left = A.delete_keys(target, gone, ["a", "b"], rows=100).withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in left.groupBy("task").count().collect()]
+    assert len(per_task) > 20 and max(per_task) < 3 * 100  # of the session's four tasks before
+    keys = {(i % 1000, i % 3) for i in range(3000)}
+    assert left.columns[:3] == target.columns
+    assert sorted(map(repr, ((r.a, r.b, r.v) for r in left.collect()))) == sorted(map(repr, (r for r in rows if r[:2] not in keys)))
