@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,23 +62,41 @@ def explode_row_pairs(df: DataFrame, rows: str = "rows") -> DataFrame:
 
 
 def intervals(df: DataFrame, uuid: str = "uuid", txid: str = "txid", span: int = SPAN) -> DataFrame:
-    """Runs of consecutive transaction numbers: uuid, lo, hi, n.
+    """Runs of consecutive transaction numbers: uuid, lo, hi, n."""
+    d = df.select(uuid, F.col(txid).alias("lo"), F.col(txid).alias("hi")).distinct()
+    return merge_intervals(d, uuid, span).withColumn("n", F.col("hi") - F.col("lo") + 1)
 
-    Runs are found within ranges of ``span`` numbers; then only runs, not transactions, are put in order per server.
-    """
-    d = df.select(uuid, txid).distinct().withColumn("_range", F.floor(F.col(txid) / span).cast("long"))
-    d = d.withColumn("_g", F.col(txid) - F.row_number().over(W.partitionBy(uuid, "_range").orderBy(txid)))
-    runs = d.groupBy(uuid, "_range", "_g").agg(F.min(txid).alias("lo"), F.max(txid).alias("hi"))
-    return merge_intervals(runs.select(uuid, "lo", "hi"), uuid).withColumn("n", F.col("hi") - F.col("lo") + 1)
 
+def merge_intervals(df: DataFrame, uuid: str = "uuid", span: int = SPAN) -> DataFrame:
+    """The union of intervals (uuid, lo, hi); neighbours and overlaps become one.
 
-def merge_intervals(df: DataFrame, uuid: str = "uuid") -> DataFrame:
-    """The union of intervals (uuid, lo, hi); neighbours and overlaps become one."""
-    w = W.partitionBy(uuid).orderBy("lo", "hi")
-    before = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-    d = df.withColumn("_new", (before.isNull() | (F.col("lo") > before + 1)).cast("int"))
-    d = d.withColumn("_g", F.sum("_new").over(w))
-    return d.groupBy(uuid, "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
+    Intervals are put in order within ranges of ``span`` numbers by their start; of each range only its largest end and
+    its first start's are carried on to the others, so no task sorts a whole server. A start is a lo beyond all ends
+    before it, plus one; its interval reaches to the largest end before the next start.
+    """
+    key = [uuid, "_range"]
+    d = df.select(uuid, "lo", "hi", F.floor(F.col("lo") / span).cast("long").alias("_range"))
+    earlier = W.partitionBy(uuid).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    tops = d.groupBy(*key).agg(F.max("hi").alias("_top")).withColumn("_carried", F.max("_top").over(earlier))
+    d = _on(d, tops.select(*key, "_carried"), key)
+    own = W.partitionBy(*key).orderBy("lo", "hi")
+    d = d.withColumn("_before", F.greatest("_carried", F.max("hi").over(own.rowsBetween(W.unboundedPreceding, -1))))
+    starts = d.where(F.col("_before").isNull() | (F.col("lo") > F.col("_before") + 1)).select(*key, "lo", "_before")
+    # the largest end before the next range's first start; behind the last start, that of all
+    later = W.partitionBy(uuid).orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    firsts = starts.groupBy(*key).agg(F.min_by("_before", "lo").alias("_first"))
+    last = tops.groupBy(uuid).agg(F.max("_top").alias("_last"))
+    ends = _on(firsts, last, [uuid]).select(*key, F.coalesce(F.first("_first", True).over(later), "_last").alias("_end"))
+    at = W.partitionBy(*key).orderBy("lo")
+    starts = starts.select(*key, "lo", F.lead("_before").over(at).alias("_next"))
+    return _on(starts, ends, key).select(uuid, "lo", F.coalesce("_next", "_end").alias("hi"))
+
+
+def _on(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` with the columns that ``other`` has for its key; null keys are equal."""
+    right = other.withColumnsRenamed({k: f"_k_{k}" for k in key})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key))
+    return df.join(right, on, "left").drop(*(f"_k_{k}" for k in key))
 
 
 def parse_set(text: Column) -> Column:
@@ -87,11 +107,15 @@ def parse_set(text: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.split(text, ","), lambda x: F.trim(x) != ""), one))
 
 
-def set_text(df: DataFrame, uuid: str = "uuid") -> DataFrame:
-    """Merged intervals as the text of each server's set: uuid, gtid_set."""
+def set_text(df: DataFrame, uuid: str = "uuid", span: int = SPAN) -> DataFrame:
+    """Merged intervals as the text of each server's set: uuid, gtid_set.
+
+    Texts of ranges of ``span`` numbers are made first, so that only they come together for a server.
+    """
     part = F.struct("lo", F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string"))).alias("t"))
-    g = df.groupBy(uuid).agg(F.array_sort(F.collect_list(part)).alias("p"))
-    return g.select(uuid, F.concat(F.col(uuid), F.lit(":"), F.array_join(F.transform("p", lambda x: x.t), ":")).alias("gtid_set"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.t), ":")
+    g = df.groupBy(uuid, F.floor(F.col("lo") / span).cast("long").alias("_range")).agg(joined(part).alias("t"))
+    return g.groupBy(uuid).agg(joined(F.struct("_range", "t")).alias("t")).select(uuid, F.concat(F.col(uuid), F.lit(":"), F.col("t")).alias("gtid_set"))
 
 
 def contains(sets: DataFrame, df: DataFrame, uuid: str = "uuid", txid: str = "txid") -> DataFrame:

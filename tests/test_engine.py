@@ -515,3 +515,34 @@ def test_deleted_keys_are_dealt_by_the_rows_of_the_target(spark):
     keys = {(i % 1000, i % 3) for i in range(3000)}
     assert left.columns[:3] == target.columns
     assert sorted(map(repr, ((r.a, r.b, r.v) for r in left.collect()))) == sorted(map(repr, (r for r in rows if r[:2] not in keys)))
+
+
+def test_one_servers_intervals_are_merged_by_several_tasks(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny tables would come to one task
+    try:
+        d = spark.range(4000).select(F.lit("u").alias("uuid"), (F.col("id") * 2).alias("txid"))
+        runs = P.intervals(d, span=100).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in runs.groupBy("task").count().collect()]
+        assert sum(per_task) == 4000 and max(per_task) < 3000  # one task held them all before
+        assert P.set_text(P.intervals(d, span=100), span=100).first().gtid_set == "u:" + ":".join(str(2 * i) for i in range(4000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_intervals_merge_over_ranges_as_in_one(spark):
+    rng, rows = random.Random(7), []
+    for u, n in (("a", 1), ("b", 30), ("c", 150), (None, 60)):
+        for lo in (rng.randrange(-50, 500) for _ in range(n)):
+            rows.append((u, lo, lo + rng.choice([0, 0, 0, 1, 2, 5, rng.randrange(150)])))
+    rows += [("d", 0, 0), ("d", 1, 95), ("d", 3, 4), ("d", 50, 60), ("d", 96, 96), ("d", 98, 98), ("d", 98, 98), ("e", 9, 9), ("e", 10, 10), ("e", 40, 40)]
+    want: list = []
+    for u, lo, hi in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        if want and want[-1][0] == u and lo <= want[-1][2] + 1:
+            want[-1][2] = max(want[-1][2], hi)
+        else:
+            want.append([u, lo, hi])
+    merged = P.merge_intervals(spark.createDataFrame(rows, "uuid string, lo long, hi long"), span=10)
+    assert sorted(map(repr, (tuple(r) for r in merged.collect()))) == sorted(map(repr, map(tuple, want)))
+    texts = {r.uuid: r.gtid_set for r in P.set_text(merged.where("uuid is not null"), span=10).collect()}
+    assert texts["d"] == "d:0-96:98" and texts["e"] == "e:9-10:40"
